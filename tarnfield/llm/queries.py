@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfield.llm.clusters import similar_groups, typical_members
+from tarnfield.llm.neighbours import close_neighbours, search
 from tarnfield.llm.pairs import PairTable, Support
 from tarnfield.llm.percentiles import exact_percentile, merge_groups, percentiles, sketch_groups
 from tarnfield.llm.terms import mark_terms, term_records
@@ -73,6 +75,30 @@ g AS (SELECT run_method, filter_name, count(*) AS n, quantile_disc(latency_ms, 0
   FROM v WHERE filter_name IN (SELECT lower(trim(filter_name)) FROM exact_topk_entry) GROUP BY ALL)
 SELECT run_method, filter_name FROM g WHERE n >= 100 AND p99 >= 6 * p50"""
 
+# ---------------------------------------------------------------- problem 2
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of at least 5 reviews linked by cosine 0.85 or more."""
+    return similar_groups(load(spark, d, AMAZON), "id", "embedding", least=0.85, smallest=5)
+
+
+def p2_typical(spark: SparkSession, d: str) -> DataFrame:
+    """Size of every cluster and its 3 most typical reviews."""
+    reviews = load(spark, d, AMAZON)
+    groups = stored(similar_groups(reviews, "id", "embedding", least=0.85, smallest=5), "clusters")
+    return typical_members(groups, reviews, "id", "embedding")
+
+
+_USABLE = "len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
+_AMAZON_CTE = f"u AS (SELECT id, any_value(CAST(embedding AS DOUBLE[64])) AS v FROM {AMAZON} WHERE {_USABLE} GROUP BY id)"
+P2_SQL = f"""
+WITH RECURSIVE {_AMAZON_CTE},
+e AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.id <> b.id WHERE array_cosine_similarity(a.v, b.v) >= 0.85),
+r AS (SELECT x AS id, x AS k FROM e UNION SELECT e.y, r.k FROM r JOIN e ON r.id = e.x WHERE r.k < e.y),
+c AS (SELECT id, least(min(k), id) AS cluster_key FROM r GROUP BY id)
+SELECT cluster_key, id FROM c QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 5"""
+
 # ---------------------------------------------------------------- problem 3
 
 
@@ -99,6 +125,43 @@ _MARK = "CASE WHEN records < 5 THEN 'rare' WHEN records * 10 > total THEN 'commo
 P3_TERMS_SQL = f"WITH {_TERM_CTE} SELECT field, term, occurrences, records, {_MARK} AS mark FROM n JOIN tot USING (field)"
 P3_SQL = f"SELECT field, term, mark FROM ({P3_TERMS_SQL}) WHERE mark IS NOT NULL"
 
+# ---------------------------------------------------------------- problem 4
+
+#: source_table: (table, metric, closeness)
+SOURCES = {"amazon": (AMAZON, "cosine", 0.93), "laion": (LAION, "cosine", 0.93), "yfcc": (YFCC, "l2", 14_400.0)}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Close pairs of which at least one is among the 10 most similar of the other."""
+    found = []
+    for name, (table, metric, bound) in SOURCES.items():
+        near = close_neighbours(load(spark, d, table), "id", "embedding", k=10, bound=bound, metric=metric)
+        found.append(near.select(F.lit(name).alias("source_table"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct())
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p4_search(spark: SparkSession, d: str) -> DataFrame:
+    """The exact 10 most similar records, near or far, of every record whose id is divisible by 50."""
+    found = []
+    for name, (table, metric, _) in SOURCES.items():
+        rows = load(spark, d, table)
+        asked = rows.where(F.col("id") % 50 == 0).select(F.col("id").cast("bigint").alias("id"), F.col("embedding").alias("vec"))
+        near = search(rows, "id", "embedding", asked, k=10, metric=metric)
+        found.append(near.select(F.lit(name).alias("source_table"), "id_a", "id_b", F.col("rank_no").cast("bigint").alias("rank_no")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _p4_sql(name: str) -> str:
+    table, metric, bound = SOURCES[name]
+    sim = "array_cosine_similarity(a.v, b.v)" if metric == "cosine" else "-CAST(round(pow(array_distance(a.v, b.v), 2)) AS DOUBLE)"
+    return f"""(WITH u AS (SELECT CAST(id AS BIGINT) AS id, any_value(CAST(embedding AS DOUBLE[64])) AS v FROM {table} WHERE {_USABLE} GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, {sim} AS s FROM u a JOIN u b ON a.id <> b.id WHERE s >= {bound if metric == "cosine" else -bound}),
+t AS (SELECT x, y FROM p QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 10)
+SELECT DISTINCT '{name}' AS source_table, least(x, y) AS id_a, greatest(x, y) AS id_b FROM t)"""
+
+
+P4_SQL = " UNION ALL ".join(_p4_sql(n) for n in SOURCES)
+
 # ---------------------------------------------------------------- problem 5
 
 
@@ -144,16 +207,22 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_percentiles": p1_percentiles,
     "p1_by_day": p1_by_day,
+    "p2_found": p2_found,
+    "p2_typical": p2_typical,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
+    "p4_found": p4_found,
+    "p4_search": p4_search,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
 }
 SQL = {
     "p1_found": P1_SQL,
+    "p2_found": P2_SQL,
     "p3_found": P3_SQL,
     "p3_terms": P3_TERMS_SQL,
+    "p4_found": P4_SQL,
     "p5_found": P5_SQL,
     "p6_found": f"SELECT field, term_a, term_b FROM ({P6_PAIRS_SQL})",
     "p6_pairs": P6_PAIRS_SQL,
