@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.llm.clusters import similar_groups, typical_members
+from tarnfield.llm.leakage import leaked
 from tarnfield.llm.neighbours import close_neighbours, search
+from tarnfield.llm.packing import containers, count_tokens, pack, split_items
 from tarnfield.llm.pairs import PairTable, Support
 from tarnfield.llm.percentiles import exact_percentile, merge_groups, percentiles, sketch_groups
 from tarnfield.llm.terms import mark_terms, term_records
@@ -203,6 +205,42 @@ FROM p JOIN tot USING (field) JOIN n x ON x.field = p.field AND x.term = term_a
 WHERE n_ab >= 6 AND n_ab * 1000 >= 3 * total AND n_ab * total >= 4 * x.records * y.records"""
 P6_PAIRS_SQL = P6_PAIRS_SQL.replace("SELECT field, term_a", "SELECT p.field AS field, term_a")
 
+# ---------------------------------------------------------------- problem 8
+
+CAPACITY = 2048
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document (or piece of one) with its container."""
+    return pack(count_tokens(load(spark, d, "documents"), "doc_id", "text"), capacity=CAPACITY)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    used = containers(p8_pack(spark, d)).where("container <> 'empty'")
+    return used.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * CAPACITY)).alias("fill"), F.max("used").alias("fullest"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be split."""
+    return split_items(p8_pack(spark, d)).select(F.col("id").alias("doc_id"))
+
+
+P8_SQL = r"""SELECT doc_id FROM documents
+WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s\x1c-\x1f\x{85}]')) > 2048"""
+
+# ---------------------------------------------------------------- problem 9
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with held-out reviews in them, and how much of each."""
+    return leaked(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "c4_queries"), "query_no", "ori_review")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "query_no")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_percentiles": p1_percentiles,
@@ -216,6 +254,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p8_found": p8_found,
+    "p8_pack": p8_pack,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
 }
 SQL = {
     "p1_found": P1_SQL,
@@ -226,4 +269,5 @@ SQL = {
     "p5_found": P5_SQL,
     "p6_found": f"SELECT field, term_a, term_b FROM ({P6_PAIRS_SQL})",
     "p6_pairs": P6_PAIRS_SQL,
+    "p8_found": P8_SQL,
 }
