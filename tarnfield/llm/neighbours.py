@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.cells import Tile, blocks, copies, fit_cells, matrix, unit, usable_vectors
+from tarnfield.session import stored
 
 PAIR = "id_a bigint, id_b bigint, sim double"
 
@@ -75,7 +76,7 @@ def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound:
         return pa.table({"id_a": a[ok], "id_b": b[ok], "sim": v[ok]})
 
     found = blocks(vectors, cells, ids_kept=k + 1).groupBy("cell", "i", "j").applyInArrow(tile, PAIR)
-    best = _heaps(found.groupBy("id_a", "id_b").agg(F.max("sim").alias("sim")), k)
+    best = stored(_heaps(found.groupBy("id_a", "id_b").agg(F.max("sim").alias("sim")), k), "neighbours")
     # ids past the k + 1 smallest copies of a task chunk: their nearest are the k smallest copies
     more = copies(vectors, dim, beyond=k + 1)
     lists = more.join(best.select(F.col("id_a").alias("rep"), "id_b", "sim"), "rep")
