@@ -279,7 +279,7 @@ def _surprise(positive: int, negative: int, total: list[int], least: float = 1.0
     return float(odds) if odds > least else 0.0
 
 
-def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 4, epochs: int = 3, batch: int = 256, seed: int = 7) -> Network:
+def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 4, steps: int = 300, batch: int = 192, rate: float = 4e-3, seed: int = 7) -> Network:
     """Train on rated texts (label 1 or 0 per text); see the module for the method. Without both labels present the
     network is left untrained and its threshold is above every score, so nothing is found."""
     net, lex, rng = Network.new(seed), Lexicon(), np.random.default_rng(seed)
@@ -313,17 +313,13 @@ def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 4, epoch
         place = np.empty(len(x), np.int64)
         place[order] = np.arange(len(x)) - np.searchsorted(doc[order], doc[order])
         pos = np.flatnonzero((y[doc] == 1) & trusted[doc] & ((place == 0) | ((r > 0) & (rank > 2.5) & (place < 4))))
-        hard = np.flatnonzero((y[doc] == 0) & trusted[doc] & (place < 3))
-        rest = np.flatnonzero((y[doc] == 0) & trusted[doc] & (place >= 3))
-        for _ in range(epochs):
-            some = rng.choice(rest, min(len(rest), len(hard)), replace=False)
-            rows = rng.permutation(np.r_[pos, hard, some])
-            lab = (y[doc[rows]]).astype(np.float32)
-            weight = np.where(lab == 1, max(1.0, 0.6 * (len(rows) - len(pos)) / max(len(pos), 1)) ** 0.5, 1.0).astype(np.float32)
-            soft = (lab * 0.9 + 0.03).astype(np.float32)
-            for s in range(0, len(rows), batch):
-                b = rows[s : s + batch]
-                trainer.step(x[b], soft[s : s + batch], weight[s : s + batch], rate=4e-3 / (1 + 0.5 * r))
+        hard = np.flatnonzero((y[doc] == 0) & trusted[doc] & (place < 2))
+        rest = np.flatnonzero((y[doc] == 0) & trusted[doc] & (place >= 2))
+        third = batch // 3
+        for step in range(steps):  # each batch: a third each of positive, hardest negative and other negative windows
+            b = np.concatenate([rng.choice(part, third) for part in (pos, hard, rest) if len(part)])
+            lab = y[doc[b]].astype(np.float32)
+            trainer.step(x[b], lab * 0.92 + 0.02, np.ones(len(b), np.float32), rate=rate * (1 - 0.8 * (r * steps + step) / (rounds * steps)))
         logit = net.score(x, table_of(net, lex))
         best = np.full(len(y), -50.0, np.float32)
         np.maximum.at(best, doc, logit)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.llm.clusters import similar_groups, typical_members
 from tarnfield.llm.leakage import leaked
+from tarnfield.llm.moderation import rated_sample, score_documents, train
 from tarnfield.llm.neighbours import close_neighbours, search
 from tarnfield.llm.packing import containers, count_tokens, pack, split_items
 from tarnfield.llm.pairs import PairTable, Support
@@ -241,6 +243,34 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "query_no")
 
 
+# ---------------------------------------------------------------- problem 10
+
+
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    docs = load(spark, d, "documents")
+    rated = rated_sample(docs, load(spark, d, "doc_ratings"))
+    net = train([t for t, _ in rated], np.array([y for _, y in rated]))
+    return score_documents(docs, net), net.threshold
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d)[0]
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged documents and their rate per source."""
+    scores, threshold = _scored(spark, d)
+    flagged = F.count_if(F.col("score") >= threshold)
+    rows = load(spark, d, "documents").select("doc_id", "source").join(scores, "doc_id")
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), flagged.alias("flagged"), (flagged / F.count("*")).alias("rate"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    scores, threshold = _scored(spark, d)
+    return scores.where(F.col("score") >= threshold).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_percentiles": p1_percentiles,
@@ -259,6 +289,9 @@ QUERIES = {
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_sources": p10_sources,
 }
 SQL = {
     "p1_found": P1_SQL,
