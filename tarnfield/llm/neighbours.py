@@ -18,7 +18,7 @@ from tarnfield.session import stored
 PAIR = "id_a bigint, id_b bigint, sim double"
 
 
-def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound: float, metric: str = "cosine", dim: int = 64, probes: int = 6, **fit) -> DataFrame:
+def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound: float, metric: str = "cosine", dim: int = 64, probes: int = 3, per_root: float = 1.0, **fit) -> DataFrame:
     """(id_a, id_b, sim, rank_no): up to ``k`` most similar other records of every record among the close ones.
 
     Close: cosine at least ``bound``, or (metric 'l2') squared distance at most ``bound``; sim is the cosine or minus
@@ -30,7 +30,7 @@ def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound:
     README has the measured recall.
     """
     vectors = usable_vectors(df, record, vector, dim)
-    cells = fit_cells(vectors, metric=metric, dim=dim, probes=probes, **fit)
+    cells = fit_cells(vectors, metric=metric, dim=dim, probes=probes, per_root=per_root, **fit)
 
     def tile(table: pa.Table) -> pa.Table:
         t = Tile(table, cells)
