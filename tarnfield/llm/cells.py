@@ -75,7 +75,7 @@ class Cells:
         return np.concatenate(out).astype(np.int32) if out else np.empty((0, m), np.int32)
 
 
-def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, seed: int = 17) -> Cells:
+def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, seed: int = 17, rows: DataFrame | None = None) -> Cells:
     """Distributed k-means with parallel oversampled seeding on a sample of about ``fit_rows`` rows.
 
     The number of cells is ``per_root`` times the square root of the rows, so that the work per row grows with the
@@ -84,11 +84,11 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
     moved by ``steps`` passes of Lloyd's algorithm. Sums are formed in the tasks; the driver sees k rows per task of
     the sample.
     """
-    n = vectors.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = stored(vectors.where(keep).coalesce(8), "cell-sample")
+    n = (rows if rows is not None else vectors).count()  # of the unfiltered table where given: its files know it
     k = max(1, math.ceil(per_root * math.sqrt(n)))
+    share = min(1.0, max(fit_rows, 32 * k) / max(n, 1))  # at least 32 rows a cell: with the root of the table, no more
+    keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    sample = stored(vectors.where(keep).coalesce(max(8, k // 256)), "cell-sample")
     origin = np.zeros(dim, np.float32)
     if metric == "l2":
         mean = sample.select(*(F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dim))).first()
@@ -103,8 +103,7 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
                 if not b.num_rows:
                     continue
                 w = cells.place(matrix(b, dim))
-                u = np.array([hash_unit(i, seed, rnd) for i in b["id"].to_pylist()])
-                key = -np.log(u) / np.maximum(_least(w, cells.centers), 1e-12)
+                key = -np.log(hash_unit(b["id"].to_numpy(), seed, rnd)) / np.maximum(_least(w, cells.centers), 1e-12)
                 keys, rows = np.r_[keys, key], np.r_[rows, w]
                 best = np.argsort(keys, kind="stable")[:want]
                 keys, rows = keys[best], rows[best]
@@ -164,14 +163,15 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
     return cells
 
 
-def hash_unit(i: int, seed: int, rnd: int) -> float:
-    """A fixed number in (0, 1) for a row, so that reruns of a task draw the same rows."""
-    x = (i * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F + rnd * 0x165667B19E3779F9) & (1 << 64) - 1
-    x ^= x >> 31
-    x = x * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    x ^= x >> 27
-    x = x * 0x94D049BB133111EB & (1 << 64) - 1
-    return ((x ^ (x >> 31)) + 0.5) / (1 << 64)
+def hash_unit(ids: np.ndarray, seed: int, rnd: int) -> np.ndarray:
+    """A fixed number in (0, 1) for each row, so that reruns of a task draw the same rows."""
+    start = (seed * 0xC2B2AE3D27D4EB4F + rnd * 0x165667B19E3779F9) & (1 << 64) - 1
+    x = np.asarray(ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
 
 
 def _least(w: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -215,11 +215,11 @@ def _members(sample: DataFrame, cells: Cells, heavy: np.ndarray, how_many: np.nd
         for b in batches:
             if b.num_rows:
                 w = cells.place(matrix(b, dim))
-                home, out = cells.nearest(w, 1)[:, 0], []
+                home, key, out = cells.nearest(w, 1)[:, 0], hash_unit(b["id"].to_numpy(), seed, 99), []
                 for i in np.flatnonzero(np.isin(home, heavy)):
                     if left[int(home[i])] > 0:
                         left[int(home[i])] -= 1
-                        out.append((hash_unit(int(b["id"][int(i)].as_py()), seed, 99), int(home[i]), w[i].tobytes()))
+                        out.append((float(key[i]), int(home[i]), w[i].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["key", "cell", "w"])
 
     rows = sorted((r.key, r.cell, bytes(r.w)) for r in sample.mapInArrow(run, "key double, cell int, w binary").collect())
@@ -236,14 +236,23 @@ def _members(sample: DataFrame, cells: Cells, heavy: np.ndarray, how_many: np.nd
 BLOCK = "cell int, i int, j int, bucket int, n int, ids binary, per binary, vecs binary, cells binary"
 
 
+_PRESS: list = []  # one compressor and decompressor per process
+
+
+def _press() -> list:
+    if not _PRESS:
+        _PRESS.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _PRESS
+
+
 def pack(x: np.ndarray) -> bytes:
     """Lossless: the bytes of equal significance together, then zstd."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1, x.dtype.itemsize).transpose(2, 1, 0).tobytes())
+    return _press()[0].compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1, x.dtype.itemsize).transpose(2, 1, 0).tobytes())
 
 
 def unpack(data: bytes, n: int, dtype, width: int) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=n * width * size), np.uint8)
+    raw = np.frombuffer(_press()[1].decompress(data, max_output_size=n * width * size), np.uint8)
     return np.ascontiguousarray(raw.reshape(size, width, n).transpose(2, 1, 0)).view(dtype).reshape(n, width)
 
 
@@ -268,18 +277,25 @@ def vector_bucket(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 def blocks(vectors: DataFrame, cells: Cells, *, ids_kept: int, rows_at_once: int = 65_536) -> DataFrame:
     """One row per task chunk, cell and pair of buckets: the distinct vectors placed there, packed.
 
-    Of a group of copies the ``ids_kept`` smallest ids travel with the vector; the others are left to
-    :func:`copies`.
+    Of a group of copies in a chunk the ``ids_kept`` smallest ids travel with the vector; rows of cell -1 hold the
+    others, each with the smallest id of its group (see :func:`copies`).
     """
     dim, m = cells.dim, min(cells.probes, len(cells.centers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         for x, ids in _chunks(batches, dim, rows_at_once):
             rep, flat, at = collapse(x, ids)
             x = x[rep]
             per = np.minimum(np.diff(at), ids_kept)
             near = np.sort(cells.nearest(cells.place(x), m), axis=1)
             bucket = vector_bucket(x, np.full(len(x), 1 << 30, np.int64))
+            rank = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
+            if (more := rank >= ids_kept).any():
+                rep_id = np.repeat(flat[at[:-1]], np.diff(at))
+                yield _batch([(-1, part, 0, 0, int(more.sum()), flat[more].tobytes(), rep_id[more].tobytes(), b"", b"")])
             point, cell = np.repeat(np.arange(len(x)), m), near.ravel()
             b = bucket[point] % cells.buckets[cell]
             order = np.lexsort((point, b, cell))
@@ -320,19 +336,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[
         yield np.concatenate(xs), np.concatenate(ids)
 
 
-def copies(vectors: DataFrame, dim: int, *, beyond: int, rows_at_once: int = 65_536) -> DataFrame:
-    """(id, rep): ids whose vector equals that of the smaller id ``rep`` of the same task chunk, past the first
-    ``beyond`` ids of the group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, ids in _chunks(batches, dim, rows_at_once):
-            _, flat, at = collapse(x, ids)
-            size = np.diff(at)
-            rank = np.arange(len(flat)) - np.repeat(at[:-1], size)
-            more = rank >= beyond
-            yield pa.RecordBatch.from_arrays([pa.array(flat[more]), pa.array(np.repeat(flat[at[:-1]], size)[more])], names=["id", "rep"])
-
-    return vectors.mapInArrow(run, "id bigint, rep bigint")
+def copies(table: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of a group of rows of :func:`blocks`: (id, rep) of ids left out there, or None if the group is a tile."""
+    if table["cell"][0].as_py() >= 0:
+        return None
+    ids, reps = (b"".join(table[c].to_pylist()) for c in ("ids", "per"))
+    return np.frombuffer(ids, np.int64), np.frombuffer(reps, np.int64)
 
 
 class Tile:

@@ -30,9 +30,11 @@ def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound:
     README has the measured recall.
     """
     vectors = usable_vectors(df, record, vector, dim)
-    cells = fit_cells(vectors, metric=metric, dim=dim, probes=probes, per_root=per_root, **fit)
+    cells = fit_cells(vectors, metric=metric, dim=dim, probes=probes, per_root=per_root, rows=df, **fit)
 
     def tile(table: pa.Table) -> pa.Table:
+        if (left := copies(table)) is not None:
+            return pa.table({"id_a": left[0], "id_b": left[1], "sim": pa.nulls(len(left[0]), pa.float64())})
         t = Tile(table, cells)
         src, dst, sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         least = bound if metric == "cosine" else -bound
@@ -76,9 +78,10 @@ def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound:
         return pa.table({"id_a": a[ok], "id_b": b[ok], "sim": v[ok]})
 
     found = blocks(vectors, cells, ids_kept=k + 1).groupBy("cell", "i", "j").applyInArrow(tile, PAIR)
-    best = stored(_heaps(found.groupBy("id_a", "id_b").agg(F.max("sim").alias("sim")), k), "neighbours")
+    found = stored(found.groupBy("id_a", "id_b").agg(F.max("sim").alias("sim")), "neighbours")
+    best = _heaps(found.where("sim IS NOT NULL"), k)
     # ids past the k + 1 smallest copies of a task chunk: their nearest are the k smallest copies
-    more = copies(vectors, dim, beyond=k + 1)
+    more = found.where("sim IS NULL").select(F.col("id_a").alias("id"), F.col("id_b").alias("rep"))
     lists = more.join(best.select(F.col("id_a").alias("rep"), "id_b", "sim"), "rep")
     tail = lists.select(F.col("id").alias("id_a"), "id_b", "sim").unionByName(lists.groupBy("id", "rep").agg(F.max("sim").alias("sim")).select(F.col("id").alias("id_a"), F.col("rep").alias("id_b"), "sim"))
     return best.unionByName(_heaps(tail.where("id_a <> id_b").dropDuplicates(["id_a", "id_b"]), k))
