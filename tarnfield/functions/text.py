@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words left out of labels and hashes.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "i", "in", "is", "it", "its", "my", "not", "of", "on", "or", "so", "that", "the", "this", "to", "was", "we", "were", "with", "you")
@@ -53,7 +54,7 @@ def fnv1a_mod(n: int):
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def simhash64(s: pd.Series) -> pd.Series:
     """64-bit similarity hash of the content words (hex): the sign, bit by bit, of the sum over word hashes."""
     stop, word = set(STOP_WORDS), re.compile(r"[a-z0-9]+")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,6 @@ def build_bloom(df: DataFrame, column: str = "id", *, most_mb: int = 64) -> Bloo
 
 def may_contain(bloom: Bloom, column: str = "id") -> Column:
     """Column test against the filter (a bounded array that travels with the plan)."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def test(ids: pd.Series) -> pd.Series:

@@ -14,15 +14,28 @@ def nearest(candidates: DataFrame, query: Column, k: int, *, id_column: str = "i
     return rows.withColumn("distance", l2(vector, query)).orderBy("distance", id_column).limit(k)
 
 
-def batch_nearest(candidates: DataFrame, queries: DataFrame, k: int, *, by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+def query_blocks(queries: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """The query set in blocks of about ``rows`` rows, split by a hash of the key; a block is what may be broadcast."""
+    number = max(1, -(-queries.count() // rows))
+    if number == 1:
+        return [queries]
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(number)) == q) for q in range(number)]
+
+
+def batch_nearest(candidates: DataFrame, queries: DataFrame, k: int, *, by: list[str] | None = None, keep: list[str] | None = None, block_rows: int = 4096) -> DataFrame:
     """Per query the k nearest candidates by (distance, id), the query itself excluded; adds rank_no.
 
-    ``queries`` (query_id, query_vector) is a stated, small set that is broadcast; ``by`` are further columns of the
-    candidates (workload, filter) within which ranks are formed. Ranks beyond k are dropped in the tasks already.
+    ``queries`` (query_id, query_vector) is a stated set, taken in blocks of ``block_rows``, the bound of what is
+    broadcast; ``by`` are further columns of the candidates (workload, filter) within which ranks are formed. Ranks
+    beyond k are dropped in the tasks already.
     """
-    pairs = candidates.crossJoin(F.broadcast(queries)).where(F.col("id") != F.col("query_id"))
-    pairs = pairs.select(*(by or []), "query_id", "id", l2_squared("embedding", "query_vector").alias("distance_sq"), *(keep or []))
-    return ranked(pairs, [*(by or []), "query_id"], [F.col("distance_sq"), F.col("id")], k)
+    group, found = [*(by or []), "query_id"], None
+    for block in query_blocks(queries, "query_id", block_rows):
+        pairs = candidates.crossJoin(F.broadcast(block)).where(F.col("id") != F.col("query_id"))
+        pairs = pairs.select(*group, "id", l2_squared("embedding", "query_vector").alias("distance_sq"), *(keep or []))
+        best = ranked(pairs, group, [F.col("distance_sq"), F.col("id")], k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

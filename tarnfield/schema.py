@@ -9,8 +9,15 @@ from pyspark.sql import types as T
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
 
 
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "timestamp": T.TimestampType(),
+    "array<float>": VECTOR, "array<int>": T.ArrayType(T.IntegerType()), "decimal(5,2)": T.DecimalType(5, 2), "decimal(12,8)": T.DecimalType(12, 8),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from "name type" pairs, without a session."""
+    return T.StructType([T.StructField(*((n := x.split(" "))[0], _TYPES[n[1]])) for x in text.split(", ")])
 
 
 #: Column names and types of the tables the engine reads.
