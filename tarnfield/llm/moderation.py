@@ -31,7 +31,7 @@ EMB, HID = 24, 16
 # Letters of other alphabets that look like Latin ones, and figures and signs used for letters.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁɡαβεικνορτυχ", "abekmhopctyxijsdgabeikvoptux")
 FIGURES = str.maketrans("@4831!05$7+€", "aabeiioss" + "tte")
-SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_]{1,2}){3,}\w(?!\w)")
+SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_]{1,2}){3,19}\w(?!\w)")
 EDGE = "\"'`´‘’“”«»‹›.,;:?!()[]{}<>/\\|~^#=&_-–—…•"
 LONG = re.compile(r"(.)\1{2,}")
 INNER = re.compile(r"(?<=\w)[.\-_·'’]+(?=\w)")
@@ -284,7 +284,7 @@ def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 4, steps
     network is left untrained and its threshold is above every score, so nothing is found."""
     net, lex, rng = Network.new(seed), Lexicon(), np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
-    if y.min(initial=1) == y.max(initial=0):
+    if not 0 < y.sum() < len(y):
         net.threshold = 1.1
         return net
     numbers = [lex.encode(t) for t in texts]
