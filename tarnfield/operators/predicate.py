@@ -375,6 +375,36 @@ def derived_predicate(rating: float, price: float | None, popularity: int, categ
     return And(tuple(parts))
 
 
+def label_range_filter(workload: str, labels: list[int], low: int, high: int, *, label_column: str = "labels", range_column: str = "width") -> tuple[object, str]:
+    """(tree, name) of a labelled search: by any of the labels, by a half-open range, or by either ('hybrid')."""
+    by_label = ArrayTest(label_column, "&&", tuple(labels))
+    by_range = And((Compare(range_column, ">=", low), Compare(range_column, "<", high)))
+    trees = {"label": by_label, "range": by_range, "hybrid": Or((by_label, by_range))}
+    if workload not in trees:
+        raise PredicateError(f"no such workload: {workload}")
+    parts = {"label": f"label_{'_'.join(map(str, labels))}", "range": f"range_{low}_{high}"}
+    return trees[workload], parts.get(workload) or f"{parts['label']}_or_{parts['range']}"
+
+
+def leaf_profile(df: DataFrame, tree: object) -> DataFrame:
+    """(leaf, true_rows, false_rows, null_rows) of every leaf of a predicate, in one pass."""
+    leaves: list[object] = []
+
+    def walk(t: object) -> None:
+        if isinstance(t, (And, Or)):
+            for p in t.parts:
+                walk(p)
+        elif isinstance(t, Not):
+            walk(t.part)
+        elif t not in leaves:
+            leaves.append(t)
+
+    walk(tree)
+    aggs = [a for i, x in enumerate(leaves) for c in [x.to_column()] for a in (F.count_if(c).alias(f"t{i}"), F.count_if(~c).alias(f"f{i}"), F.count_if(c.isNull()).alias(f"n{i}"))]
+    rows = F.array(*(F.struct(F.lit(sql_of(x)).alias("leaf"), F.col(f"t{i}").alias("true_rows"), F.col(f"f{i}").alias("false_rows"), F.col(f"n{i}").alias("null_rows")) for i, x in enumerate(leaves)))
+    return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*")
+
+
 def selectivities(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
     """(filter_name, rows, total) of all predicates in one pass."""
     counts = df.agg(F.count("*").alias("__total"), *(F.count_if(c).alias(k) for k, c in predicates.items()))

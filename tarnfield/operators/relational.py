@@ -123,3 +123,14 @@ def label_pair_unions(df: DataFrame, record: str, labels: str, top: int) -> Data
     a, b = heads.select(F.col("label").alias("label_a"), F.col("n").alias("n_a")), heads.select(F.col("label").alias("label_b"), F.col("n").alias("n_b"))
     pairs = a.crossJoin(b).where("label_a < label_b").join(both, ["label_a", "label_b"], "left")  # top x top
     return pairs.select("label_a", "label_b", (F.col("n_a") + F.col("n_b") - F.coalesce("n_both", F.lit(0))).alias("union_size"))
+
+
+def combine_shards(parts: list[DataFrame], keys: list[str], expected: DataFrame) -> DataFrame:
+    """All shards as one table, or an error: every expected key must occur exactly once, and no other key at all."""
+    rows = reduce(DataFrame.unionByName, parts)
+    seen = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    both = expected.select(*keys).withColumn("__want", F.lit(1)).join(seen, keys, "full_outer")
+    found = both.agg(F.count_if(F.col("__n").isNull()).alias("missing"), F.count_if(F.col("__want").isNull()).alias("foreign"), F.count_if(F.col("__n") > 1).alias("repeated")).first()
+    if found.missing or found.foreign or found.repeated:
+        raise ValueError(f"shards do not fit: {found.missing} missing, {found.foreign} foreign, {found.repeated} repeated keys")
+    return rows

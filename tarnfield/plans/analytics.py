@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tarnfield.functions import stats as S
 from tarnfield.functions import text as X
 from tarnfield.functions import vector as V
+from tarnfield.operators import predicate as P
 from tarnfield.operators import relational as R
+from tarnfield.operators import topk as K
 from tarnfield.operators.bloom import bitmap_count, build_bloom, id_bitmap, may_contain
 from tarnfield.plans import hybrid as H
 from tarnfield.plans import layout as L
@@ -396,3 +398,54 @@ def ivf_search(spark, d):
     exact = ids(e)
     found = [(n, len(exact & ids(L.probe_clusters(e, _centroids(spark, d), q, n))) / 10) for n in (1, 2, 4, 8)]
     return spark.createDataFrame(found, "probes int, recall double")
+
+
+@query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 6), r AS (SELECT id, row_number() OVER (ORDER BY {l2sql()}, id) AS rank_no FROM b CROSS JOIN q)
+SELECT CAST(rank_no AS BIGINT) AS rank_no, id, id // 64 AS page FROM r WHERE rank_no <= 50""")
+def page_materialize(spark, d):
+    """Candidates fetched in the order of their pages; the rank they carry restores the order of the results."""
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    rows = K.nearest(H.reviews(spark, d).select("id", "embedding", F.lit(6).alias("query_id")), V.literal(vector_of(spark, d, 6)), 50)
+    ranked = rows.withColumn("rank_no", F.row_number().over(w).cast("bigint")).withColumn("page", F.floor(F.col("id") / 64))
+    return L.page_order(ranked).orderBy("rank_no").select("rank_no", "id", "page")
+
+
+@query("SELECT 10 * count(*) AS ranks, CAST(0 AS BIGINT) AS differing FROM embeddings WHERE vec_id % 50 = 0")
+def spot_check(spark, d):
+    """Ranks of two exact backends, and how many differ by more than a substitution of ties."""
+    from tarnfield.plans.queries import batch_topk_matrix
+
+    direct = stored(K.batch_nearest(H.reviews(spark, d), query_set(spark, d), 10), "direct")
+    off = K.spot_check(direct, batch_topk_matrix(spark, d), ["query_id"]).agg(F.count("*").alias("differing"))
+    return direct.agg(F.count("*").alias("ranks")).crossJoin(off)
+
+
+@query(f"WITH {_B} " + " UNION ALL ".join(f"SELECT '{x}' AS leaf, count(*) FILTER ({x}) AS true_rows, count(*) FILTER (NOT ({x})) AS false_rows, count(*) FILTER (({x}) IS NULL) AS null_rows FROM b" for x in ("price >= 100000", "price < 150000")))
+def qual_profile(spark, d):
+    """How often each leaf of a predicate was true, false and null."""
+    return P.leaf_profile(H.reviews(spark, d).drop("embedding"), TREES["price_band"])
+
+
+@query(f"""WITH {_B}, {_F}, {_V}, {_G}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)
+SELECT id, round(distance, 6) AS distance FROM (SELECT b.id, {l2sql()} AS distance FROM b JOIN g USING (tenant_id) CROSS JOIN q WHERE label < 5 AND id <> 0 ORDER BY distance, id LIMIT 10)""")
+def hybrid_by_sql(spark, d):
+    """The flagship search as generated SQL text over views."""
+    q = H.HybridQuery(vector_of(spark, d, 0), TREES["wide"], k=10, principal=PRINCIPAL, exclude=0)
+    H.reviews(spark, d).createOrReplaceTempView("tf_reviews")
+    grants(spark, d).createOrReplaceTempView("tf_grants")
+    return spark.sql(H.hybrid_sql(q, "tf_reviews", "tf_grants")).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def band_selection(spark, d):
+    """Greedy choice of a filter per target selectivity from the counted catalog."""
+    counts = [(r.filter_name, r.rows / r.total) for r in P.selectivities(H.reviews(spark, d).drop("embedding"), {n: t.to_column() for n, t in TREES.items()}).collect()]  # one row per filter
+    return spark.createDataFrame(router.nearest_to_targets(counts, [0.5, 0.2, 0.1, 0.05]), "target double, filter_name string, selectivity double")
+
+
+@query()
+def text_embeddings(spark, d):
+    """TF-IDF, decomposition and normalisation of texts (not bit-compatible with other libraries)."""
+    from tarnfield.functions.embed import text_embeddings as embed
+
+    return embed(load(spark, d, "documents"), "doc_id", "text")

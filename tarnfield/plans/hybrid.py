@@ -177,3 +177,29 @@ STRATEGIES = {
     "prefilter": prefilter, "allow_list": allow_list, "parallel_join": parallel_join, "sidecar": sidecar,
     "bitmap": bitmap_selector, "bloom": bloom_candidates, "page": page_candidates,
 }
+
+
+def candidate_sql(query: HybridQuery, table: str, grants: str = "grants") -> str:
+    """SQL of the candidate relation: joins, access rule, validity and predicate, no vectors and no limit."""
+    joins, where = f"{table} v", [P.sql_of(query.predicate, "v")]
+    if query.principal is not None:
+        name = query.principal.replace("'", "''")
+        joins += f" JOIN {grants} g ON g.tenant_id = v.tenant_id AND g.can_read AND g.principal_name = '{name}'"
+        for kind, alias in (("grant", "g"), ("fact", "v")):
+            if kind in WORKLOADS[query.workload]:
+                where.append(f"{alias}.valid_from <= {int(query.as_of)} AND ({alias}.valid_to IS NULL OR {alias}.valid_to > {int(query.as_of)})")
+    if query.exclude is not None:
+        where.append(f"v.id <> {int(query.exclude)}")
+    if "list_has_a" in where[0]:
+        raise P.PredicateError("array tests have a DataFrame form only")
+    return f"SELECT v.id FROM {joins} WHERE {' AND '.join(where)} ORDER BY v.id"
+
+
+def hybrid_sql(query: HybridQuery, table: str, grants: str = "grants") -> str:
+    """SQL of the whole search, for ``spark.sql`` over registered views."""
+    q = ", ".join(f"{float(x)!r}D" for x in query.vector)
+    ids = candidate_sql(query, table, grants).removesuffix(" ORDER BY v.id")
+    distance = f"sqrt(aggregate(zip_with(v.embedding, array({q}), (a, b) -> (CAST(a AS DOUBLE) - b) * (CAST(a AS DOUBLE) - b)), 0D, (s, x) -> s + x))"
+    valid = " AND aggregate(v.embedding, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x) > 0" if query.candidate_valid else ""
+    return f"SELECT id, distance FROM ({ids.replace('SELECT v.id FROM', f'SELECT v.id, {distance} AS distance FROM')}{valid}) ORDER BY distance, id LIMIT {query.k}"
+

@@ -170,6 +170,17 @@ def order_jobs(jobs: Sequence[tuple[str, float, float]], how: str, seed: int = 0
     return out
 
 
+def run_concurrently(jobs: dict[str, object], workers: int = 4) -> dict[str, object]:
+    """Runs independent jobs (callables) from several threads; with the FAIR scheduler they share the executors."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(workers) as pool:
+        futures = {name: pool.submit(inheritable_thread_target(job)) for name, job in jobs.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def plan_shape(df: DataFrame) -> dict[str, int]:
     """Operators of the physical plan that decide its cost: shuffles, broadcasts, joins, top-k, Python."""
     text = df._jdf.queryExecution().executedPlan().toString()

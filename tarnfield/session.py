@@ -46,10 +46,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: tables written by this process, for :func:`clear_stored`
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _WRITTEN.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -66,3 +71,11 @@ def drop_stored(df: DataFrame) -> None:
     for root in roots:
         path = jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove every table this process wrote to the shared folder; results that still read them must be done."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -351,3 +351,31 @@ def test_entry_contract():
 
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and "p7_found" in names and os.path.exists(e.__file__)
+
+
+def test_shards_fail_closed(spark):
+    part = lambda *k: spark.createDataFrame([(x, 1) for x in k], "k int, v int")
+    assert R.combine_shards([part(0, 1), part(2)], ["k"], spark.range(3).select(F.col("id").cast("int").alias("k"))).count() == 3
+    for bad in ([part(0, 1)], [part(0, 1, 2, 3)], [part(0, 1, 2), part(2)]):
+        with pytest.raises(ValueError):
+            R.combine_shards(bad, ["k"], spark.range(3).select(F.col("id").cast("int").alias("k")))
+
+
+def test_candidate_sql_has_no_vector_and_no_limit(spark):
+    q = H.HybridQuery([0.0, 1.0], P.parse("cat = 'o''b' AND price < -1.5", COLS), workload="fact_validity", principal="it's", as_of=7, exclude=3)
+    text = H.candidate_sql(q, "t")
+    assert "LIMIT" not in text and "embedding" not in text and "'it''s'" in text and "g.valid_to IS NULL" in text and "(-1.5)" in text
+    with pytest.raises(P.PredicateError):
+        H.candidate_sql(H.HybridQuery([], P.parse("tags && ARRAY[1]", COLS)), "t")
+
+
+def test_label_filters_and_profile(spark):
+    tree, name = P.label_range_filter("hybrid", [3], 10, 20)
+    df = spark.createDataFrame([([3], 0), ([1], 15), ([1], 20), (None, None)], "labels array<int>, width int")
+    assert df.where(tree.to_column()).count() == 2 and name == "label_3_or_range_10_20"
+    rows = {r.leaf: (r.true_rows, r.false_rows, r.null_rows) for r in P.leaf_profile(df, tree).collect()}
+    assert rows["width >= 10"] == (2, 1, 1)
+
+
+def test_concurrent_jobs(spark):
+    assert router.run_concurrently({str(n): (lambda n=n: spark.range(n).count()) for n in range(4)}) == {str(n): n for n in range(4)}
