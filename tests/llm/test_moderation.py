@@ -6,13 +6,13 @@ import pytest
 from tarnfield.llm import moderation as M
 
 
-@pytest.mark.parametrize(("token", "plain"), [("IDIOT!!", "idiot"), ("id1ot", "idiot"), ("i.d.i.o.t", "idiot"), ("idiоt", "idiot"), ("idiooooot", "idiot"), ("ｉｄｉｏｔ", "idiot"), ("Größe,", "grosse"), ("12.5", "0"), ("1,745;", "0,0"), ("...", ""), ("id**t", "id*t"), ("p@r@s1t3", "parasite")])
+@pytest.mark.parametrize(("token", "plain"), [("IDIOT!!", "idiot"), ("id1ot", "idiot"), ("i.d.i.o.t", "idiot"), ("idiоt", "idiot"), ("idiooooot", "idiot"), ("ｉｄｉｏｔ", "idiot"), ("Größe,", "grosse"), ("12.5", "0"), ("...", ""), ("id**t", "id*t"), ("p@r@s1t3", "parasite")])
 def test_one_spelling(token, plain):
     assert M.plain_word(token) == plain
 
 
 def test_tokens_and_windows():
-    assert M.tokens("you i d i o t, go") == ["you", "idiot,", "go"] and M.tokens(None) == [] and M.tokens(" \n") == []
+    assert M.tokens("you i d i o t, go") == ["you", "idiot", "go"] and M.tokens(None) == [] and M.tokens(" \n") == [] and M.tokens("a;b_c/d|e") == list("abcde")
     for n in (0, 1, 24, 25, 40, 41, 1000):
         w = M.windows(list(range(1, n + 1)))
         assert set(w.ravel().tolist()) - {0} == set(range(1, n + 1)) and w.shape[1] == M.WIDTH
