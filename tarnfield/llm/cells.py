@@ -150,13 +150,19 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
         moved = counts > 0
         cells.centers = cells.centers.copy()
         cells.centers[moved] = (sums[moved] / counts[moved, None]).astype(np.float32)
-    # heavy cells get further centroids, drawn from their own members
-    mean = counts.sum() / max(len(counts), 1)
-    heavy = np.flatnonzero(counts > 4 * max(mean, 1))
-    if len(heavy):
-        extra = _members(sample, cells, heavy, (counts[heavy] / max(mean, 1)).astype(int), seed)
-        cells.centers = np.unique(np.r_[cells.centers, extra], axis=0)
-        counts, _ = assign(cells)
+    # a heavy cell is replaced by cells around some of its own members, which are then moved as the others were
+    for _ in range(2):
+        mean = counts.sum() / max(len(counts), 1)
+        heavy = np.flatnonzero(counts > 4 * max(mean, 1))
+        if not len(heavy):
+            break
+        extra = _members(sample, cells, heavy, np.ceil(counts[heavy] / max(mean, 1)).astype(int), seed)
+        cells.centers = np.unique(np.r_[np.delete(cells.centers, heavy, axis=0), extra], axis=0)
+        for _ in range(steps):
+            counts, sums = assign(cells)
+            moved = counts > 0
+            cells.centers = cells.centers.copy()
+            cells.centers[moved] = (sums[moved] / counts[moved, None]).astype(np.float32)
     drop_stored(sample)
     # what remains too heavy is cut into buckets (each vector is placed `probes` times)
     cells.buckets = np.maximum(1, np.ceil(counts / max(share, 1e-12) * probes / tile_rows)).astype(np.int32)
@@ -371,33 +377,34 @@ class Tile:
         self.first = int((side[rep] == self.i).sum()) if self.i != self.j else len(rep)
         self.metric = cells.metric
         self.exact = unit(self.x) if cells.metric == "cosine" else self.x.astype(np.float64)
-        w = self.exact if cells.metric == "cosine" else self.exact - cells.origin
-        # int8 codes with one step for the tile, and the largest error that this can put on a product
-        step = max(float(np.abs(w).max()), 1e-30) / 127
+        # |a - b|^2 is all that either metric needs (unit vectors: cosine = 1 - |a - b|^2 / 2), so the tile is coded
+        # around its own mean: the tighter it is, the finer the int8 step and the smaller the error of a product
+        w = self.exact - self.exact.mean(axis=0)
+        step = max(float(np.abs(w).max()) / 127, 1e-6 if cells.metric == "cosine" else 1e-6 * max(float(np.abs(self.exact).max()), 1e-30))
         code = np.rint(w / step)
         err, norm = np.sqrt(((w - code * step) ** 2).sum(axis=1).max()), np.sqrt((w**2).sum(axis=1).max())
-        self.step2, self.slack = step * step, float(2 * norm * err + err * err)
+        half = 0.5 * (w**2).sum(axis=1)
+        self.step2 = step * step
+        self.slack = float(2 * norm * err + err * err + 1e-6 * half.max() + self.step2)
+        h, one = (half / self.step2).astype(np.float32)[:, None], np.ones((len(code), 1), np.float32)
         self.code = code.astype(np.int8)
-        self.half = 0.5 * (w**2).sum(axis=1) if cells.metric == "l2" else None
+        # -|a - b|^2 / 2 = a.b - |a|^2 / 2 - |b|^2 / 2 as one product; codes multiply exactly in float32 (below 2**24)
+        self.left = np.hstack([self.code.astype(np.float32), -h, one])
+        self.right = np.hstack([self.code.astype(np.float32), one, -h])
+
+    def _bounds(self, bound: float) -> tuple[np.float32, np.float32]:
+        """Products from which a pair may, and surely does, reach the bound (cosine at least, squared distance at most)."""
+        least = bound - 1 if self.metric == "cosine" else -bound / 2
+        return np.float32((least - self.slack) / self.step2), np.float32((least + self.slack) / self.step2)
 
     def survivors(self, bound: float, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs (a, b) of points that may reach ``bound`` (cosine at least, or squared distance at most), and which
-        of them surely do. Products of int8 codes are exact in float32 (at most dim * 127**2 < 2**24)."""
-        code = self.code.astype(np.float32)
-        if self.half is None:
-            left = right = code
-            least = bound
-        else:  # |a-b|^2 <= T  <=>  a.b - |a|^2/2 - |b|^2/2 >= -T/2
-            h = (self.half / self.step2).astype(np.float32)[:, None]
-            one = np.ones_like(h)
-            left, right, least = np.hstack([code, -h, one]), np.hstack([code, one, -h]), -bound / 2
-        slack = self.slack + (0 if self.half is None else 1e-6 * float(self.half.max()) + self.step2)
-        low, high = np.float32((least - slack) / self.step2), np.float32((least + slack) / self.step2)
+        """Pairs (a, b) of points, each once, that may reach ``bound``, and which of them surely do."""
+        low, high = self._bounds(bound)
         same = self.i == self.j
         for s in range(0, self.first, rows):
             e = min(s + rows, self.first)
             base = s if same else self.first
-            product = left[s:e] @ right[base:].T
+            product = self.left[s:e] @ self.right[base:].T
             hit = np.flatnonzero(product >= low)
             a, b = hit // product.shape[1] + s, hit % product.shape[1] + base
             sure = product.ravel()[hit] >= high
@@ -407,6 +414,30 @@ class Tile:
             if len(a):
                 yield a, b, sure
 
+    def best(self, bound: float, k: int, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Directed pairs (a, b) that may reach ``bound`` and be among the ``k`` best of a: of a row with many
+        survivors only those stay whose upper bound is not below the lower bounds of k others."""
+        low, _ = self._bounds(bound)
+        gap = np.float32(2 * self.slack / self.step2)
+        same, n = self.i == self.j, len(self.x)
+        sides = [(0, n, 0, n)] if same else [(0, self.first, self.first, n), (self.first, n, 0, self.first)]
+        for start, stop, c0, c1 in sides:
+            for s in range(start, stop, rows):
+                e = min(s + rows, stop)
+                product = self.left[s:e] @ self.right[c0:c1].T
+                if same:
+                    product[np.arange(e - s), np.arange(s, e)] = -np.inf
+                need = np.full(e - s, low)
+                hits = product >= low
+                crowded = np.flatnonzero(hits.sum(axis=1) > 4 * k)
+                if len(crowded):
+                    kth = np.partition(product[crowded], -k, axis=1)[:, -k]
+                    need[crowded] = np.maximum(low, kth - gap)
+                    hits[crowded] = product[crowded] >= need[crowded, None]
+                a, b = np.nonzero(hits)
+                if len(a):
+                    yield a + s, b + c0
+
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Cosine, or minus the squared distance, in double precision."""
         out = np.empty(len(a))

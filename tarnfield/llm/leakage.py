@@ -111,17 +111,18 @@ def _within(many: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(many) - many, many)
 
 
-def leaked(corpus: DataFrame, record: str, text: str, items: DataFrame, number: str, item_text: str, *, share: tuple[int, int] = (2, 5), items_at_once: int = 20_000) -> DataFrame:
+def leaked(corpus: DataFrame, record: str, text: str, items: DataFrame, number: str, item_text: str, *, share: tuple[int, int] = (2, 5), items_at_once: int = 5_000, characters_at_once: int = 4_000_000) -> DataFrame:
     """(doc_id, query_no, found, total): documents that hold at least ``share`` of the distinct 5-word sequences of
     a test item, with how many of them.
 
-    Test items are taken to the tasks ``items_at_once`` at a time (the bound of what is sent), one pass over the
-    corpus each. Null ids are dropped; null, empty and shorter texts hold and give no sequences; repeated rows of a
+    Test items are taken to the tasks in blocks of about ``items_at_once`` items and ``characters_at_once``
+    characters (the bound of what is sent), one pass over the corpus each. Null ids are dropped; null, empty and shorter texts hold and give no sequences; repeated rows of a
     document are searched each and reported once; equal test texts are all reported; empty tables give no rows.
     """
     docs = corpus.where(F.col(f"`{record}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{record}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     tests = items.where(F.col(f"`{number}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{number}`").cast("bigint").alias("no"), F.col(f"`{item_text}`").alias("text"))
-    blocks = max(1, -(-tests.count() // items_at_once))
+    size = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
+    blocks = max(1, -(-size.n // items_at_once), -(-size.c // characters_at_once))
     result = None
     for b in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("no"), F.lit(blocks)) == b)
