@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -24,6 +25,15 @@ def build_session(app: str = "tarnfield", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it was not shipped with the job (runs from another folder)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One Parquet table of a data folder (a file or a directory of part files)."""
     return spark.read.parquet(f"{folder}/{table}.parquet")
