@@ -44,7 +44,8 @@ class PairTable:
         self.baskets = spark.createDataFrame([], BASKETS)
         self.marginals = spark.createDataFrame([], MARGINALS)
         self.tracked = spark.createDataFrame([], TRACKED)
-        self.pairs = spark.createDataFrame([], PAIRS)
+        #: version folder of the counts of each hash bucket
+        self.current: dict[int, str] = {}
         self.empty = True
 
     def _write(self, df: DataFrame, name: str, schema: str) -> DataFrame:
@@ -81,7 +82,6 @@ class PairTable:
         # pair deltas of the changed baskets among the terms tracked so far
         parts = []
         if not self.empty:
-            parts.append(self.pairs)
             parts.append(self._pair_counts(self._tracked_only(signed, self.tracked.withColumn("new", F.lit(True))), any_new=False))
         # terms that became eligible: their pairs are filled in from all baskets
         eligible = self._eligible()
@@ -91,18 +91,36 @@ class PairTable:
             both = both.unionByName(self.tracked.withColumn("new", F.lit(False)))
         both = self._write(both, "tracked", TRACKED + ", new boolean")
         parts.append(self._pair_counts(self._tracked_only(baskets.withColumn("sign", F.lit(1)), both), any_new=True))
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        bucket = F.pmod(F.xxhash64("field", "term_a", "term_b"), F.lit(self.buckets)).cast("int")
-        counts = union.groupBy("field", "term_a", "term_b").agg(F.sum("n").alias("n")).where("n <> 0")
-        path = f"{self.folder}/pairs-v{self.version}"
-        counts.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
-        self.pairs = self.spark.read.schema(PAIRS + ", bucket int").parquet(path).drop("bucket")
+        union = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        self._merge(union)
         self.tracked = both.drop("new")
         self.empty = False
         return self
 
+    def _merge(self, deltas: DataFrame) -> None:
+        """Add deltas to the persistent counts: only the buckets that they fall in are read and written again."""
+        bucket = F.pmod(F.xxhash64("field", "term_a", "term_b"), F.lit(self.buckets)).cast("int")
+        path = f"{self.folder}/deltas-v{self.version}"
+        deltas.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
+        deltas = self.spark.read.schema(PAIRS + ", bucket int").parquet(path)
+        touched = [r.bucket for r in deltas.select("bucket").distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        rows, old = deltas, [self.current[b] for b in touched if b in self.current]
+        if old:
+            rows = rows.unionByName(self.spark.read.schema(PAIRS).parquet(*old).withColumn("bucket", bucket))
+        counts = rows.groupBy("bucket", "field", "term_a", "term_b").agg(F.sum("n").alias("n")).where("n <> 0")
+        path = f"{self.folder}/pairs-v{self.version}"
+        counts.write.partitionBy("bucket").parquet(path)
+        left = {r.bucket for r in self.spark.read.schema(PAIRS + ", bucket int").parquet(path).select("bucket").distinct().collect()}
+        self.current = {b: p for b, p in self.current.items() if b not in touched} | {b: f"{path}/bucket={b}" for b in left}
+
+    @property
+    def pairs(self) -> DataFrame:
+        """(field, term_a, term_b, n) of the tracked terms."""
+        paths = list(self.current.values())
+        return self.spark.read.schema(PAIRS).parquet(*paths) if paths else self.spark.createDataFrame([], PAIRS)
+
     def records(self) -> DataFrame:
         """(field, total): number of records, those with an empty basket included."""
         return self.baskets.groupBy("field").agg(F.count("*").alias("total"))
@@ -128,16 +146,22 @@ class PairTable:
     def _pair_counts(self, baskets: DataFrame, *, any_new: bool) -> DataFrame:
         """Signed counts of the pairs within baskets; ``any_new``: only pairs with at least one new term."""
         c = self.chunk
-        n = F.ceil(F.size("terms") / c).cast("int")
-        tiles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))
-        rows = baskets.select("field", "sign", "terms", F.explode(F.flatten(tiles)).alias("t"))
-        part = lambda x: F.slice(F.col("terms"), (x * c + 1).cast("int"), c)
-        rows = rows.select("field", "sign", part(F.col("t.i")).alias("a"), part(F.col("t.j")).alias("b"))
+        long = F.size("terms") > 8 * c
+        rows = self._tiles(baskets.where(~long)).unionByName(self._tiles(baskets.where(long)).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))  # their tiles over all tasks
         rows = rows.select("field", "sign", "b", F.explode("a").alias("a")).select("field", "sign", "a", F.explode("b").alias("b")).where("a.term < b.term")
         if any_new:
             rows = rows.where("a.new OR b.new")
         return rows.groupBy("field", F.col("a.term").alias("term_a"), F.col("b.term").alias("term_b")).agg(F.sum("sign").alias("n"))
 
+    def _tiles(self, baskets: DataFrame) -> DataFrame:
+        """(field, sign, a, b): the pairs of chunks of each basket."""
+        c = self.chunk
+        n = F.ceil(F.size("terms") / c).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))
+        rows = baskets.select("field", "sign", "terms", F.explode(F.flatten(tiles)).alias("t"))
+        part = lambda x: F.slice(F.col("terms"), (x * c + 1).cast("int"), c)
+        return rows.select("field", "sign", part(F.col("t.i")).alias("a"), part(F.col("t.j")).alias("b"))
+
     def scores(self) -> DataFrame:
         """(field, term_a, term_b, n_ab, n_a, n_b, total, lift) of the pairs that reach the support asked for."""
         num, den = self.support.share
