@@ -414,9 +414,17 @@ class Tile:
             if len(a):
                 yield a, b, sure
 
-    def best(self, bound: float, k: int, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Directed pairs (a, b) that may reach ``bound`` and be among the ``k`` best of a: of a row with many
-        survivors only those stay whose upper bound is not below the lower bounds of k others."""
+    def best(self, bound: float, k: int, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Pairs (a, b) that may reach ``bound`` and be among the ``k`` best of a, and whether they stand for (b, a) too.
+
+        In a crowded tile (as some of its rows show) each direction is looked at by itself, and of a row with many
+        survivors only those stay whose upper bound is not below the lower bounds of k others.
+        """
+        some = np.arange(0, self.first, max(1, self.first // 128))
+        if np.count_nonzero(self.left[some] @ self.right.T >= self._bounds(bound)[0]) <= 4 * k * len(some):
+            for a, b, _ in self.survivors(bound, rows):
+                yield a, b, True
+            return
         low, _ = self._bounds(bound)
         gap = np.float32(2 * self.slack / self.step2)
         same, n = self.i == self.j, len(self.x)
@@ -436,7 +444,7 @@ class Tile:
                     hits[crowded] = product[crowded] >= need[crowded, None]
                 a, b = np.nonzero(hits)
                 if len(a):
-                    yield a + s, b + c0
+                    yield a + s, b + c0, False
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Cosine, or minus the squared distance, in double precision."""

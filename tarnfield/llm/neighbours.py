@@ -46,12 +46,13 @@ def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound:
             best = order[rank < k]
             return src[best], dst[best], sim[best]
 
-        for a, b in t.best(bound, k):
+        for a, b, both in t.best(bound, k):
             own = t.owned(a, b)
             a, b = a[own], b[own]
             v = t.similarity(a, b)
             ok = v >= least
-            src, dst, sim = np.r_[src, a[ok]], np.r_[dst, b[ok]], np.r_[sim, v[ok]]
+            a, b, v = a[ok], b[ok], v[ok]
+            src, dst, sim = (np.r_[src, a, b], np.r_[dst, b, a], np.r_[sim, v, v]) if both else (np.r_[src, a], np.r_[dst, b], np.r_[sim, v])
             if len(src) > 2_000_000:
                 src, dst, sim = heap()
         src, dst, sim = heap()
