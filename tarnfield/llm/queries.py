@@ -164,6 +164,15 @@ t AS (SELECT x, y FROM p QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DE
 SELECT DISTINCT '{name}' AS source_table, least(x, y) AS id_a, greatest(x, y) AS id_b FROM t)"""
 
 
+def _p4_search_sql(name: str) -> str:
+    table, metric, _ = SOURCES[name]
+    sim = "array_cosine_similarity(a.v, b.v)" if metric == "cosine" else "-CAST(round(pow(array_distance(a.v, b.v), 2)) AS DOUBLE)"
+    return f"""(WITH u AS (SELECT CAST(id AS BIGINT) AS id, any_value(CAST(embedding AS DOUBLE[64])) AS v FROM {table} WHERE {_USABLE} GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, {sim} AS s FROM u a JOIN u b ON a.id <> b.id WHERE a.id % 50 = 0)
+SELECT '{name}' AS source_table, id_a, id_b, row_number() OVER (PARTITION BY id_a ORDER BY s DESC, id_b) AS rank_no FROM p QUALIFY rank_no <= 10)"""
+
+
+P4_SEARCH_SQL = " UNION ALL ".join(_p4_search_sql(n) for n in SOURCES)
 P4_SQL = " UNION ALL ".join(_p4_sql(n) for n in SOURCES)
 
 # ---------------------------------------------------------------- problem 5
@@ -299,6 +308,7 @@ SQL = {
     "p3_found": P3_SQL,
     "p3_terms": P3_TERMS_SQL,
     "p4_found": P4_SQL,
+    "p4_search": P4_SEARCH_SQL,
     "p5_found": P5_SQL,
     "p6_found": f"SELECT field, term_a, term_b FROM ({P6_PAIRS_SQL})",
     "p6_pairs": P6_PAIRS_SQL,
