@@ -337,10 +337,10 @@ def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 4, steps
 
 
 def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The highest threshold whose F1 is about the best: rated documents were picked for trouble, most are not."""
+    """The middle of the thresholds whose F1 is about the best."""
     grid = np.arange(0.3, 0.81, 0.02)
     f1 = np.array([2 * (y[score >= t]).sum() / max(1, (score >= t).sum() + y.sum()) for t in grid])
-    return float(grid[f1 >= f1.max() - 0.004].max())
+    return float(np.median(grid[f1 >= f1.max() - 0.004]))
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, *, most: int = 9000, seed: int = 5) -> list[tuple[str | None, int]]:
