@@ -116,8 +116,9 @@ def leaked(corpus: DataFrame, record: str, text: str, items: DataFrame, number:
     a test item, with how many of them.
 
     Test items are taken to the tasks in blocks of about ``items_at_once`` items and ``characters_at_once``
-    characters (the bound of what is sent), one pass over the corpus each. Null ids are dropped; null, empty and shorter texts hold and give no sequences; repeated rows of a
-    document are searched each and reported once; equal test texts are all reported; empty tables give no rows.
+    characters (the bound of what is sent), one pass over the corpus each. Null ids are dropped; null, empty and
+    shorter texts hold and give no sequences; repeated rows of a document are searched each and reported once; equal
+    test texts are all reported; empty tables give no rows.
     """
     docs = corpus.where(F.col(f"`{record}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{record}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     tests = items.where(F.col(f"`{number}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{number}`").cast("bigint").alias("no"), F.col(f"`{item_text}`").alias("text"))
