@@ -7,6 +7,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.session import stored
+
+
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in range partitions of the order, sorted inside, with the number of the partition and the place in it;
+    written once, so that both passes over it see the same partitions."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(rows.select("*", F.spark_partition_id().alias("__part"), place.alias("__place")), "ranged")
+
+
+def global_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the 0-based place of each row in the complete order of the table, without a single-partition window: places
+    inside range partitions plus the rows of the partitions before (one small row per partition)."""
+    rows = _ranged(df, order)
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__part").agg((F.max("__place") + 1).alias("n")).select("__part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + F.col("__place")).alias(name))
+
+
+def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to and including each row in the complete order, in the same way."""
+    rows = _ranged(df, order)
+    inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__part").agg(F.sum(value).alias("n")).select("__part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
+    return rows.withColumn(name, F.sum(value).over(inside)).join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + F.col(name)).alias(name))
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key in a complete order."""
@@ -17,12 +45,11 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def running_cutoff(df: DataFrame, amount: str, order: list[Column], percent_x100: int) -> DataFrame:
     """Rows, in order, while the amount before them is less than ceil(total * percent / 100); adds ``cumulative``.
 
-    The percentage comes as an integer of hundredths, so the ceiling is exact. The frame runs over one row per group
-    (tenants, say), which is what bounds the single partition of an ungrouped window.
+    The percentage comes as an integer of hundredths, so the ceiling is exact.
     """
     total = df.agg(F.sum(amount).alias("__total"))
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("cumulative", F.sum(amount).over(w).cast("bigint")).crossJoin(F.broadcast(total))  # one row
+    rows = global_running_sum(df, order, amount, "cumulative").withColumn("cumulative", F.col("cumulative").cast("bigint"))
+    rows = rows.crossJoin(F.broadcast(total))  # one row
     need = F.expr(f"(__total * {percent_x100} + 9999) div 10000")
     return rows.where(F.col("cumulative") - F.col(amount) < need).drop("__total")
 
@@ -106,7 +133,7 @@ def break_even(df: DataFrame, group: list[str], order: str, saving: str) -> Data
 
 def even_sample(df: DataFrame, column: str, n: int) -> DataFrame:
     """n evenly spaced rows of the order of ``column``: positions floor(i (rows - 1) / (n - 1))."""
-    rows = df.select(column).withColumn("__pos", F.row_number().over(Window.orderBy(column)) - 1)
+    rows = global_position(df.select(column), [F.col(column).asc()], "__pos")
     total = df.count()
     n = min(n, total)
     want = sorted({i * (total - 1) // max(n - 1, 1) for i in range(n)})

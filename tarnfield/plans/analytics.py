@@ -164,9 +164,9 @@ _REQ = "req AS (SELECT event_type AS k, CAST(row_number() OVER (ORDER BY ts, eve
 
 
 def requests(spark, d) -> DataFrame:
-    """The request trace: numbered once over the whole trace, which is what a trace is."""
-    w = Window.orderBy("ts", "event_id")
-    return load(spark, d, "events").select(F.col("event_type").alias("k"), F.row_number().over(w).cast("bigint").alias("request_no"), "value")
+    """The request trace, numbered through in its order."""
+    rows = R.global_position(load(spark, d, "events").select("ts", "event_id", "event_type", "value"), [F.col("ts").asc(), F.col("event_id").asc()])
+    return rows.select(F.col("event_type").alias("k"), (F.col("position") + 1).alias("request_no"), "value")
 
 
 @query(f"WITH {_REQ} SELECT request_no, k, request_no - lag(request_no) OVER (PARTITION BY k ORDER BY request_no) AS reuse_distance, CAST((request_no - 1) // 100 AS BIGINT) AS window_no FROM req")
@@ -384,8 +384,8 @@ def layout_equivalence(spark, d):
 @query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 9) SELECT id, CAST(row_number() OVER (ORDER BY {l2sql()}, id) AS BIGINT) AS position FROM b CROSS JOIN q""")
 def anchor_layout(spark, d):
     """Rows in the order of their distance to one anchor."""
-    rows = L.anchor_order(H.reviews(spark, d).select("id", "embedding"), V.literal(vector_of(spark, d, 9)))
-    return rows.select("id", F.row_number().over(Window.orderBy("anchor_distance", "id")).cast("bigint").alias("position"))
+    rows = H.reviews(spark, d).select("id", V.l2("embedding", V.literal(vector_of(spark, d, 9))).alias("anchor_distance"))
+    return R.global_position(rows, [F.col("anchor_distance").asc(), F.col("id").asc()]).select("id", (F.col("position") + 1).alias("position"))
 
 
 @query()

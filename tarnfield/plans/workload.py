@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.operators.relational import distinct_on, first_reaching, running_cutoff
+from tarnfield.operators.relational import distinct_on, first_reaching, global_running_sum, running_cutoff
 from tarnfield.plans.hybrid import valid_at
 
 #: Target shares of the temporal buckets, in hundredths of a percent.
@@ -61,7 +61,7 @@ def temporal_buckets(seen: DataFrame, targets_x100=TARGETS_X100) -> DataFrame:
     """
     spark = seen.sparkSession
     per_ts = seen.groupBy("valid_from").agg(F.count("*").alias("n"))
-    steps = per_ts.select(F.col("valid_from").alias("as_of"), F.sum("n").over(Window.orderBy("valid_from").rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("achieved_count"))
+    steps = global_running_sum(per_ts, [F.col("valid_from").asc()], "n", "achieved_count").select(F.col("valid_from").alias("as_of"), F.col("achieved_count").cast("bigint").alias("achieved_count"))
     total = seen.agg(F.count("*").alias("acl_visible_count"))
     want = spark.createDataFrame([(t,) for t in targets_x100], "target_x100 int").crossJoin(total)
     want = want.withColumn("target_count", F.greatest(F.lit(1), F.expr("(acl_visible_count * target_x100 + 9999) div 10000")))

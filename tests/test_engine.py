@@ -379,3 +379,15 @@ def test_label_filters_and_profile(spark):
 
 def test_concurrent_jobs(spark):
     assert router.run_concurrently({str(n): (lambda n=n: spark.range(n).count()) for n in range(4)}) == {str(n): n for n in range(4)}
+
+
+def test_global_positions_and_sums(spark):
+    df = spark.createDataFrame([((i * 7919) % 1009, i % 5) for i in range(1009)], "k int, v int").repartition(7)
+    got = R.global_position(df, [F.col("k").desc()]).collect()
+    assert all(r.position == 1008 - r.k for r in got) and len(got) == 1009
+    run = R.global_running_sum(df, [F.col("k").asc()], "v", "c").orderBy("k").collect()
+    total = 0
+    for r in run:
+        total += r.v
+        assert r.c == total
+    assert R.global_position(df.limit(0), [F.col("k").asc()]).count() == 0
