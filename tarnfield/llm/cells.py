@@ -5,8 +5,8 @@ cells, and a pair of vectors is compared in the cells they share. Whatever is th
 from the original numbers in double precision.
 
 Skew: identical vectors are collapsed inside each task before anything is shuffled, so a group of copies costs one
-vector per task; cells that the sample shows to be heavy get more centroids; and a cell that stays above
-``tile_rows`` is cut into buckets whose pairs of buckets are tasks of their own.
+vector per task; cells that the sample shows to be heavy keep their centroid, or one for all of them that lie within
+the distance of a pair; and a cell above ``tile_rows`` is cut into buckets, all pairs of which are tasks of their own.
 """
 
 from __future__ import annotations
@@ -75,14 +75,15 @@ class Cells:
         return np.concatenate(out).astype(np.int32) if out else np.empty((0, m), np.int32)
 
 
-def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, seed: int = 17, rows: DataFrame | None = None) -> Cells:
+def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, join: float = 0.0, seed: int = 17, rows: DataFrame | None = None) -> Cells:
     """Distributed k-means with parallel oversampled seeding on a sample of about ``fit_rows`` rows.
 
     The number of cells is ``per_root`` times the square root of the rows, so that the work per row grows with the
     root of the table. Each seeding round draws k/2 rows in one pass, with probability proportional to the squared
     distance to the seeds so far (exponential keys, the smallest ones win); the weighted seeds are reduced to k and
     moved by ``steps`` passes of Lloyd's algorithm. Sums are formed in the tasks; the driver sees k rows per task of
-    the sample.
+    the sample. Heavy cells whose centroids are at most ``join`` apart (the distance of a pair that is looked for) are
+    united, so that no pair of a dense region is lost between them.
     """
     n = (rows if rows is not None else vectors).count()  # of the unfiltered table where given: its files know it
     k = max(1, math.ceil(per_root * math.sqrt(n)))
@@ -150,21 +151,11 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
         moved = counts > 0
         cells.centers = cells.centers.copy()
         cells.centers[moved] = (sums[moved] / counts[moved, None]).astype(np.float32)
-    # a heavy cell is replaced by cells around some of its own members, which are then moved as the others were
-    for _ in range(2):
-        mean = counts.sum() / max(len(counts), 1)
-        heavy = np.flatnonzero(counts > 4 * max(mean, 1))
-        if not len(heavy):
-            break
-        extra = _members(sample, cells, heavy, np.ceil(counts[heavy] / max(mean, 1)).astype(int), seed)
-        cells.centers = np.unique(np.r_[np.delete(cells.centers, heavy, axis=0), extra], axis=0)
-        for _ in range(steps):
-            counts, sums = assign(cells)
-            moved = counts > 0
-            cells.centers = cells.centers.copy()
-            cells.centers[moved] = (sums[moved] / counts[moved, None]).astype(np.float32)
+    if join:
+        cells.centers = _united(cells.centers, counts, join)
+        counts, _ = assign(cells)
     drop_stored(sample)
-    # what remains too heavy is cut into buckets (each vector is placed `probes` times)
+    # what is too heavy is cut into buckets (each vector is placed `probes` times)
     cells.buckets = np.maximum(1, np.ceil(counts / max(share, 1e-12) * probes / tile_rows)).astype(np.int32)
     return cells
 
@@ -212,29 +203,21 @@ def _reduce_seeds(seeds: np.ndarray, weights: np.ndarray, k: int, seed: int) ->
     return centers
 
 
-def _members(sample: DataFrame, cells: Cells, heavy: np.ndarray, how_many: np.ndarray, seed: int) -> np.ndarray:
-    """For each heavy cell some of its members of the (bounded) sample."""
-    limit, dim = dict(zip(heavy.tolist(), how_many.tolist())), cells.dim
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = dict(limit)
-        for b in batches:
-            if b.num_rows:
-                w = cells.place(matrix(b, dim))
-                home, key, out = cells.nearest(w, 1)[:, 0], hash_unit(b["id"].to_numpy(), seed, 99), []
-                for i in np.flatnonzero(np.isin(home, heavy)):
-                    if left[int(home[i])] > 0:
-                        left[int(home[i])] -= 1
-                        out.append((float(key[i]), int(home[i]), w[i].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["key", "cell", "w"])
-
-    rows = sorted((r.key, r.cell, bytes(r.w)) for r in sample.mapInArrow(run, "key double, cell int, w binary").collect())
-    taken, out = dict.fromkeys(limit, 0), []
-    for _, cell, w in rows:
-        if taken[cell] < limit[cell]:
-            taken[cell] += 1
-            out.append(np.frombuffer(w, np.float32))
-    return np.array(out, np.float32).reshape(-1, dim)
+def _united(centers: np.ndarray, counts: np.ndarray, join: float) -> np.ndarray:
+    """Centroids with one weighted mean for each set of heavy cells within ``join`` of each other and the cells as near to them."""
+    total = counts.sum()
+    while True:
+        heavy = np.flatnonzero(counts > 4 * max(total / max(len(counts), 1), 1))
+        apart = np.sqrt(np.maximum(((centers[heavy, None].astype(np.float64) - centers[None]) ** 2).sum(axis=2), 0))
+        near = apart <= join
+        if not (near.sum(axis=1) > 1).any():
+            return centers
+        h = int(np.argmax(near.sum(axis=1)))
+        part = near[h]
+        while not np.array_equal(more := part | near[part[heavy]].any(axis=0), part):  # over heavy cells only, so that light ones form no chain
+            part = more
+        mean = np.average(centers[part], axis=0, weights=np.maximum(counts[part], 1e-9)).astype(np.float32)
+        centers, counts = np.r_[centers[~part], mean[None]], np.r_[counts[~part], counts[part].sum()]
 
 
 # ---------------------------------------------------------------- blocks
@@ -388,6 +371,7 @@ class Tile:
         self.slack = float(2 * norm * err + err * err + 1e-6 * half.max() + self.step2)
         h, one = (half / self.step2).astype(np.float32)[:, None], np.ones((len(code), 1), np.float32)
         self.code = code.astype(np.int8)
+        self.w, self.half, self.tiny = w.astype(np.float32), half.astype(np.float32), float(192 * 2.0**-24 * norm * norm)
         # -|a - b|^2 / 2 = a.b - |a|^2 / 2 - |b|^2 / 2 as one product; codes multiply exactly in float32 (below 2**24)
         self.left = np.hstack([self.code.astype(np.float32), -h, one])
         self.right = np.hstack([self.code.astype(np.float32), one, -h])
@@ -418,7 +402,8 @@ class Tile:
         """Pairs (a, b) that may reach ``bound`` and be among the ``k`` best of a, and whether they stand for (b, a) too.
 
         In a crowded tile (as some of its rows show) each direction is looked at by itself, and of a row with many
-        survivors only those stay whose upper bound is not below the lower bounds of k others.
+        survivors only those stay whose float32 product is not below, by more than its rounding, those of k others (the
+        int8 step follows the farthest vector of the tile, and may be coarse for a dense region in it).
         """
         some = np.arange(0, self.first, max(1, self.first // 128))
         if np.count_nonzero(self.left[some] @ self.right.T >= self._bounds(bound)[0]) <= 4 * k * len(some):
@@ -426,7 +411,6 @@ class Tile:
                 yield a, b, True
             return
         low, _ = self._bounds(bound)
-        gap = np.float32(2 * self.slack / self.step2)
         same, n = self.i == self.j, len(self.x)
         sides = [(0, n, 0, n)] if same else [(0, self.first, self.first, n), (self.first, n, 0, self.first)]
         for start, stop, c0, c1 in sides:
@@ -435,13 +419,14 @@ class Tile:
                 product = self.left[s:e] @ self.right[c0:c1].T
                 if same:
                     product[np.arange(e - s), np.arange(s, e)] = -np.inf
-                need = np.full(e - s, low)
                 hits = product >= low
                 crowded = np.flatnonzero(hits.sum(axis=1) > 4 * k)
                 if len(crowded):
-                    kth = np.partition(product[crowded], -k, axis=1)[:, -k]
-                    need[crowded] = np.maximum(low, kth - gap)
-                    hits[crowded] = product[crowded] >= need[crowded, None]
+                    fine = self.w[crowded + s] @ self.w[c0:c1].T - self.half[crowded + s, None] - self.half[c0:c1]
+                    if same:
+                        fine[np.arange(len(crowded)), crowded + s] = -np.inf
+                    kth = np.partition(fine, -k, axis=1)[:, -k]
+                    hits[crowded] &= fine >= (kth - np.float32(2 * self.tiny))[:, None]
                 a, b = np.nonzero(hits)
                 if len(a):
                     yield a + s, b + c0, False

@@ -65,6 +65,20 @@ def test_buckets_of_a_heavy_cell_lose_nothing(spark):
     assert key(a) == key(b) and a.count() > 100
 
 
+def test_a_dense_region_keeps_its_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((12_000, 64))
+    base = rng.standard_normal(64)
+    x[:4000] = base + np.sqrt(0.05) * rng.standard_normal((4000, 64)) * np.linalg.norm(base) / 8  # pairwise cosine about 0.95
+    x = x.astype("f4")
+    sim = cosines(x[:4000])
+    np.fill_diagonal(sim, -1)
+    want = {(i, int(j)) for i, row in enumerate(np.argpartition(-sim, 10, axis=1)[:, :10]) for j in row}
+    assert min(sim[i, j] for i, j in want) > 0.93
+    got = {(r.id_a, r.id_b) for r in close_neighbours(frame(spark, x), "id", "v", k=10, bound=0.93, tile_rows=3000).collect()}
+    assert len(want & got) >= 0.999 * len(want)
+
+
 def test_many_copies_of_one_vector(spark):
     x = np.tile(np.arange(1, 65, dtype="f4"), (400, 1))
     got = {}
