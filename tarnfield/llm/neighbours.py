@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.cells import Tile, blocks, copies, fit_cells, matrix, unit, usable_vectors
+from tarnfield.llm.cells import Tile, blocks, collapse, copies, fit_cells, matrix, unit, usable_vectors
 from tarnfield.session import stored
 
 PAIR = "id_a bigint, id_b bigint, sim double"
@@ -134,7 +134,11 @@ def _scan(qids: np.ndarray, qx: np.ndarray, k: int, metric: str, dim: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, w = b["id"].to_numpy(), prepare(matrix(b, dim))
+            x = matrix(b, dim)
+            rep, ids, at = collapse(x, b["id"].to_numpy())  # a row per (vector, id): repeats take no place of others
+            per = np.diff(at)
+            w = np.repeat(prepare(x[rep]), per, axis=0)
+            most = int(np.unique(ids, return_counts=True)[1].max())  # rows that an id or the query itself may have with different vectors
             c, s, e, n = coded(w)
             slack = qn * e + n * qe + e * qe
             h = 0.5 * (w**2).sum(axis=1) if metric == "l2" else np.zeros(len(w))
@@ -145,10 +149,10 @@ def _scan(qids: np.ndarray, qx: np.ndarray, k: int, metric: str, dim: int):
             hit = np.flatnonzero(product >= need[:, None].astype(np.float32))
             i, j = hit // len(c), hit % len(c)
             if len(i) > 2 * k * len(q):  # an empty heap lets everything pass: keep what can be among the k best
-                kth = np.partition(product, -min(k, len(c)), axis=1)[:, -min(k, len(c))] if len(c) > k else np.full(len(q), -np.inf, np.float32)
-                # the row itself may be among the best, so one more place is left by the slack of equal products
-                kth2 = np.partition(product, -min(k + 1, len(c)), axis=1)[:, -min(k + 1, len(c))] if len(c) > k + 1 else kth * 0 - np.inf
-                ok = product[i, j] >= np.minimum(kth, kth2)[i] - np.float32(2 * slack / (qs * s) + 1e-5 * qn * n / (qs * s))
+                # k ids and the query itself, each with as many different vectors as any id has in the batch
+                places = (k + 1) * most
+                kth = np.partition(product, -places, axis=1)[:, -places] if len(c) > places else np.full(len(q), -np.inf, np.float32)
+                ok = product[i, j] >= kth[i] - np.float32(2 * slack / (qs * s) + 1e-5 * qn * n / (qs * s))
                 i, j = i[ok], j[ok]
             keep = qids[i] != ids[j]
             i, j = i[keep], j[keep]

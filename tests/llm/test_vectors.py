@@ -1,10 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.llm import cells as C
 from tarnfield.llm.clusters import components, hashed_features, similar_groups, typical_members, union_find
-from tarnfield.llm.neighbours import close_neighbours, search
+from tarnfield.llm.neighbours import _scan, close_neighbours, search
 
 
 def planted(n=600, groups=12, d=64, seed=3):
@@ -101,6 +102,17 @@ def test_search_is_exact(spark):
             assert got == want
 
 
+def test_search_with_an_id_that_is_delivered_often():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 64)).astype("f4")
+    x[7] = x[0] + np.float32(0.01)
+    ids = np.r_[np.arange(300), np.full(100, 7), np.zeros(50, int)]
+    rows = np.r_[x, np.repeat(x[[7]], 100, axis=0), np.repeat(x[[0]], 50, axis=0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(map(list, rows)), pa.list_(pa.float32()))], names=["id", "vec"])
+    (out,) = _scan(np.array([0]), x[:1], 5, "cosine", 64)(iter([batch]))
+    assert out["id_b"].to_pylist() == brute_near(cosines(x), -np.inf, 5)[0]
+
+
 def test_similar_groups_equal_components(spark):
     x = planted()
     sim = cosines(x)
