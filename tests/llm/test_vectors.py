@@ -129,6 +129,18 @@ def test_similar_groups_equal_components(spark):
     assert close_neighbours(df.limit(0), "id", "v", k=3, bound=0.9).count() == 0
 
 
+def test_sparse_links_of_a_hot_region_are_all_seen(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 64))
+    x[:3000] = rng.standard_normal(64) + 0.66 * rng.standard_normal((3000, 64))
+    x = x.astype("f4")
+    links = np.argwhere(np.triu(cosines(x) >= 0.85, 1)).tolist()
+    label = union_find([tuple(p) for p in links])
+    want = {(k, i) for i, k in label.items()}
+    got = similar_groups(frame(spark, x), "id", "v", least=0.85, smallest=2, tile_rows=2500)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 200
+
+
 def test_components_of_a_chain_a_star_and_a_cycle(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1000, i) for i in range(1, 60)]
