@@ -258,6 +258,16 @@ def percentiles(sketches: DataFrame, by: list[str], shares: dict[str, tuple[int,
     return kept.mapInArrow(estimate, schema)
 
 
+def same_group_join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on the group columns, where null is a group of its own."""
+    names = {b: f"__r{i}" for i, b in enumerate(by)}
+    other = right.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns))
+    same = F.lit(True)
+    for b, r in names.items():
+        same = same & F.col(f"`{b}`").eqNullSafe(F.col(r))
+    return left.join(other, same, how).drop(*names.values())
+
+
 def exact_percentile(values: DataFrame, brackets: DataFrame, by: list[str], value: str, name: str, num: int, den: int) -> DataFrame:
     """The exact percentile of the groups in ``brackets`` (``by``, ``n``, ``name_low``, ``name_high``).
 
@@ -265,7 +275,7 @@ def exact_percentile(values: DataFrame, brackets: DataFrame, by: list[str], valu
     that the sketch's error bounds; nothing else of the group is sorted or moved.
     """
     lo, hi = F.col(f"{name}_low"), F.col(f"{name}_high")
-    rows = values.join(brackets.select(*by, "n", lo, hi), by).where(F.col(value) <= hi)
+    rows = same_group_join(values, brackets.select(*by, "n", lo, hi), by).where(F.col(value) <= hi)
     inside = F.when(F.col(value) > lo, F.col(value))
     counts = rows.groupBy(*by, inside.alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
     from pyspark.sql import Window

@@ -12,7 +12,7 @@ from tarnfield.llm.moderation import rated_sample, score_documents, train
 from tarnfield.llm.neighbours import close_neighbours, search
 from tarnfield.llm.packing import containers, count_tokens, pack, split_items
 from tarnfield.llm.pairs import PairTable, Support
-from tarnfield.llm.percentiles import exact_percentile, merge_groups, percentiles, sketch_groups
+from tarnfield.llm.percentiles import exact_percentile, merge_groups, percentiles, same_group_join, sketch_groups
 from tarnfield.llm.terms import mark_terms, term_records
 from tarnfield.llm.topn import latest_rows, top_n
 from tarnfield.session import load, stored
@@ -65,10 +65,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     surely = F.col("p99_low") >= 6 * F.col("p50_high")
     never = F.col("p99_high") < 6 * F.col("p50_low")
     undecided = est.where(~surely & ~never)
-    values = _measurements(spark, d).join(undecided.select(*by), by, "left_semi").select(*by, "latency_ms")
+    values = same_group_join(_measurements(spark, d), undecided.select(*by), by, "left_semi").select(*by, "latency_ms")
     p50 = exact_percentile(values, undecided, by, "latency_ms", "p50", 1, 2)
     p99 = exact_percentile(values, undecided, by, "latency_ms", "p99", 99, 100)
-    settled = p50.join(p99, by).where("p99 >= 6 * p50").select(*by)
+    settled = same_group_join(p50, p99, by).where("p99 >= 6 * p50").select(*by)
     return est.where(surely).select(*by).unionByName(settled)
 
 

@@ -75,3 +75,12 @@ def test_found(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/query_result.parquet")
     spark.createDataFrame([("slow",), ("EVEN",), (" edge",), ("short",), (None,)], "filter_name string").write.parquet(f"{tmp_path}/exact_topk_entry.parquet")
     assert {tuple(r) for r in p1_found(spark, str(tmp_path)).collect()} == {("m", "slow"), ("m", "edge")}
+
+
+def test_a_null_group_is_settled_exactly(spark):
+    from tarnfield.llm.percentiles import exact_percentile
+
+    values = spark.createDataFrame([(m, "a", float(i)) for m in (None, "x") for i in range(1, 102)], "run_method string, filter_name string, v double")
+    brackets = spark.createDataFrame([(m, "a", 101, 0.0, 200.0) for m in (None, "x")], "run_method string, filter_name string, n bigint, p50_low double, p50_high double")
+    got = exact_percentile(values, brackets, ["run_method", "filter_name"], "v", "p50", 1, 2).collect()
+    assert {tuple(r) for r in got} == {(None, "a", 51.0), ("x", "a", 51.0)}
