@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.session import stored
+
 WIDTH, STRIDE = 24, 16
 WORDS, GRAMS = 1 << 14, 1 << 13
 EMB, HID = 24, 16
@@ -31,67 +32,129 @@ EMB, HID = 24, 16
 # Letters of other alphabets that look like Latin ones, and figures and signs used for letters.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁɡαβεικνορτυχ", "abekmhopctyxijsdgabeikvoptux")
 FIGURES = str.maketrans("@4831!05$7+€", "aabeiioss" + "tte")
-SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_]{1,2}){3,19}\w(?!\w)")
-SEPARATORS = str.maketrans(dict.fromkeys(",;/_|<>", " "))
-EDGE = "\"'`´‘’“”«»‹›.,;:?!()[]{}<>/\\|~^#=&_-–—…•"
+SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_]{1,2}){3,}\w(?!\w)")
+SEPARATORS = ",;/_|<>"
+EDGE = "\"'`´‘’“”«»‹›.,;:?!()[]{}<>/\\|~^#=&_-–—…•·"
 LONG = re.compile(r"(.)\1{2,}")
 INNER = re.compile(r"(?<=\w)[.\-_·'’]+(?=\w)")
+PIECE = 40  # letters of a word; longer ones become several words
+
 
+def plain_words(token: str) -> list[str]:
+    """A token in one spelling: compatibility forms, case, accents, look-alikes, figures for letters, stretched letters.
 
-def plain_word(token: str) -> str:
-    """A token in one spelling: compatibility forms, case, accents, look-alikes, figures for letters, stretched letters."""
+    Marks inside a token are dropped, and so are invisible characters; where that would give a word of more than
+    ``PIECE`` letters, the token is a joined passage and is taken apart at them, and what is still longer is cut into
+    pieces of that length. Nothing of a token is left out.
+    """
     t = token
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t)
-        t = "".join(c for c in t if unicodedata.category(c) not in ("Mn", "Cf")).casefold().translate(LOOKALIKES)
+        kinds = [(c, unicodedata.category(c)) for c in t]
+        t = "".join("·" if k == "Cf" else c for c, k in kinds if k != "Mn").casefold().translate(LOOKALIKES)
     else:
         t = t.lower()
     t = t.strip(EDGE)
     if not t:
-        return ""
+        return []
+    if t.isalpha():
+        t = LONG.sub(r"\1", t)
+        return [t[i : i + PIECE] for i in range(0, len(t), PIECE)]
+    if len(t) > PIECE and len(INNER.sub("", t)) > PIECE:
+        parts = INNER.split(t)
+        if len(parts) > 1:
+            return [w for part in parts for w in plain_words(part)]
     if t.isdigit():
-        return "0"
-    if not t.isalpha():
-        digits = sum(c.isdigit() for c in t)
-        t = INNER.sub("", t)
-        if any(c.isalpha() for c in t) and digits <= 0.7 * len(t):
-            t = t.translate(FIGURES)
-        elif digits:
-            t = re.sub(r"\d+", "0", t)
-        t = re.sub(r"[*#]+", "*", t)
-    return LONG.sub(r"\1", t)[:40]
-
-
-def tokens(text: str | None) -> list[str]:
-    """Tokens between white space and separators, letters that are spelled apart drawn together."""
+        return ["0"]
+    digits = sum(c.isdigit() for c in t)
+    t = INNER.sub("", t)
+    if any(c.isalpha() for c in t) and digits <= 0.7 * len(t):
+        t = t.translate(FIGURES)
+    elif digits:
+        t = re.sub(r"\d+", "0", t)
+    t = LONG.sub(r"\1", re.sub(r"[*#]+", "*", t))
+    return [t[i : i + PIECE] for i in range(0, len(t), PIECE)]
+
+
+def tokens(text: str | None, *, spelled: bool = True) -> list[str]:
+    """Tokens between white space and separators; ``spelled``: letters that are spelled apart are drawn together."""
     if not text:
         return []
-    return SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), text).translate(SEPARATORS).split()
+    if spelled:
+        text = SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), text)
+    for c in SEPARATORS:
+        if c in text:
+            text = text.replace(c, " ")
+    return text.split()
+
+
+class _Raw(dict):
+    """Token -> row of the lexicon's token table, made when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = self.make(token)
+        return n
 
 
 class Lexicon:
     """Numbers for words, with the buckets of both channels; number 0 is the filling at the end of a text."""
 
     def __init__(self):
-        self.raw: dict[str, int] = {}
-        self.plain: dict[str, int] = {"": 0}
+        self.raw = _Raw(self._token)
+        self.plain: dict[str, int] = {}
         self.word = [0]
         self.grams: list[list[int]] = [[0]]
-
-    def add(self, token: str) -> int:
-        p = plain_word(token)
+        #: per token: the number of its word (0: none, below 0: several, see ``many``) and its single letters, if it has no others
+        self.number, self.letters = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.many: list[list[int]] = [[]]
+
+    def _token(self, token: str) -> int:
+        row = len(self.raw)
+        if row == len(self.number):
+            self.number, self.letters = np.r_[self.number, np.zeros_like(self.number)], np.r_[self.letters, np.zeros_like(self.letters)]
+        numbers = [self._word(w) for w in plain_words(token)]
+        if len(numbers) > 1:
+            self.number[row] = -len(self.many)
+            self.many.append(numbers)
+        elif numbers:
+            self.number[row] = numbers[0]
+        parts = re.split(r"[.\-_]+", token.strip(EDGE))
+        self.letters[row] = len(parts) if all(len(x) == 1 and (x.isalnum() or x == "_") for x in parts) else 0
+        return row
+
+    def _word(self, p: str) -> int:
         n = self.plain.get(p)
         if n is None:
             n = self.plain[p] = len(self.word)
             self.word.append(1 + zlib.crc32(p.encode()) % (WORDS - 1))
             s = f"<{p}>"
             self.grams.append([1 + zlib.crc32(s[i : i + 3].encode()) % (GRAMS - 1) for i in range(max(1, len(s) - 2))])
-        self.raw[token] = n
         return n
 
-    def encode(self, text: str | None) -> list[int]:
-        get, add = self.raw.get, self.add
-        return [n for n in [get(t) or (add(t) if t not in self.raw else 0) for t in tokens(text)] if n]
+    def encode(self, text: str | None) -> np.ndarray:
+        """Word numbers of a text."""
+        found = tokens(text, spelled=False)
+        rows = np.fromiter(map(self.raw.__getitem__, found), np.int64, len(found))
+        if self._apart(self.letters[rows]):
+            found = tokens(text)
+            rows = np.fromiter(map(self.raw.__getitem__, found), np.int64, len(found))
+        numbers = self.number[rows]
+        if len(numbers) and numbers.min() < 0:
+            numbers = np.array([n for x in numbers.tolist() for n in (self.many[-x] if x < 0 else (x,))], np.int32)
+        return numbers[numbers != 0]
+
+    @staticmethod
+    def _apart(letters: np.ndarray) -> bool:
+        """Whether four letters or more may be spelled apart somewhere (the pattern then decides)."""
+        single = letters > 0
+        if not (single[1:] & single[:-1]).any():
+            return False
+        edge = np.flatnonzero(np.diff(np.r_[False, single, False].astype(np.int8)))
+        total = np.r_[0, np.cumsum(letters)]
+        return bool((total[edge[1::2]] - total[edge[::2]] >= 4).any())
 
     def full(self, most: int = 200_000) -> bool:
         return len(self.raw) > most
@@ -146,13 +209,50 @@ class Network:
         """Input part of the gates of both directions, per word."""
         return np.hstack([e @ self.p["Wf"] + self.p["cf"], e @ self.p["Wb"] + self.p["cb"]]).astype(np.float32)
 
-    def score(self, x: np.ndarray, table: np.ndarray, rows: int = 2048) -> np.ndarray:
-        """Logits of windows ``x`` of word numbers, given the projections of the words."""
+    def score(self, x: np.ndarray, table: np.ndarray, rows: int = 1024) -> np.ndarray:
+        """Logits of windows ``x`` of word numbers, given the projections of the words.
+
+        The same function as :meth:`_forward`, arranged for speed: sigmoids are taken as tanh with halved weights, each
+        gate is an array of its own, and of every state only what attention and output need is kept.
+        """
+        gates, both = [], np.stack([self.p["att"], self.p["out"]], axis=1)
+        for d, name in enumerate("fb"):
+            u = self.p[f"U{name}"].reshape(HID, 3, HID).transpose(1, 0, 2) * np.float32(0.5)  # z, r, n
+            mine = table[:, d * 3 * HID : (d + 1) * 3 * HID].reshape(-1, 3, HID).transpose(1, 0, 2) * np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+            gates.append((np.ascontiguousarray(u), np.ascontiguousarray(mine), np.ascontiguousarray(both[d * HID : (d + 1) * HID])))
         out = np.empty(len(x), np.float32)
         for s in range(0, len(x), rows):
-            out[s : s + rows] = self._forward(np.ascontiguousarray(x[s : s + rows].T), table, keep=False)[0]
+            out[s : s + rows] = self._logits(np.ascontiguousarray(x[s : s + rows].T), gates)
         return out
 
+    def _logits(self, xt: np.ndarray, gates: list) -> np.ndarray:
+        steps, b = xt.shape
+        seen = np.zeros((steps, b, 2), np.float32)
+        g, q, n, t1 = np.empty((3, b, HID), np.float32), np.empty((3, b, HID), np.float32), np.empty((b, HID), np.float32), np.empty((b, HID), np.float32)
+        for d, (u, table, view) in enumerate(gates):
+            h = np.zeros((b, HID), np.float32)
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                for k in range(3):
+                    np.take(table[k], xt[t], axis=0, out=g[k], mode="clip")
+                np.matmul(h, u, out=q)
+                zr = g[:2]
+                zr += q[:2]
+                np.tanh(zr, out=zr)
+                np.multiply(zr[1], q[2], out=n)
+                n += q[2]
+                n += g[2]
+                np.tanh(n, out=n)
+                np.subtract(h, n, out=t1)
+                t1 *= zr[0]
+                h += n
+                h += t1
+                h *= np.float32(0.5)
+                seen[t] += h @ view
+        a = np.where(xt == 0, np.float32(-30), seen[:, :, 0])
+        a -= a.max(axis=0)
+        np.exp(a, out=a)
+        return (a * seen[:, :, 1]).sum(axis=0) / a.sum(axis=0) + self.p["bias"][0]
+
     def _forward(self, xt: np.ndarray, table: np.ndarray, *, keep: bool):
         steps, b = xt.shape
         o = np.empty((steps, b, 2 * HID), np.float32)
@@ -203,8 +303,10 @@ class Network:
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (h - n) * z * (1 - z)
                 dr = dn * qn * r * (1 - r)
-                dtable[t, :, d * 3 * HID : (d + 1) * 3 * HID] = np.hstack([dz, dr, dn])
-                dq = np.hstack([dz, dr, dn * r])
+                mine = dtable[t, :, d * 3 * HID : (d + 1) * 3 * HID]
+                mine[:, :HID], mine[:, HID : 2 * HID], mine[:, 2 * HID :] = dz, dr, dn
+                dq = mine.copy()
+                dq[:, 2 * HID :] *= r
                 du += h.T @ dq
                 dh = dh * z + dq @ u.T
             g[f"U{name}"] = du
@@ -267,17 +369,51 @@ def table_of(net: Network, lex: Lexicon, known: np.ndarray | None = None) -> np.
 
 
 def _phrases(x: np.ndarray) -> np.ndarray:
-    """Codes of the words and word pairs of a window or text (numbers of the lexicon)."""
+    """Codes of the distinct words and word pairs of a text (numbers of the lexicon)."""
     x = np.asarray(x, np.int64)
-    x = x[x > 0]
     return np.unique(np.r_[x, (x[:-1] << 32) + x[1:]])
 
 
-def _surprise(positive: int, negative: int, total: list[int], least: float = 1.0) -> float:
-    """How strongly a phrase is tied to positive documents: log odds at the cautious end of both counts, 0 below ``least``."""
+def _phrase_odds(numbers: list[np.ndarray], y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the phrases that are tied to positive texts, ascending, and how strongly; counted over the texts in ``use``."""
+    seen = [[_phrases(n) for n, c, u in zip(numbers, y, use) if u and c == label] for label in (0, 1)]
+    total = [max(1, len(s)) for s in seen]
+    code, positive = np.unique(np.concatenate(seen[1] or [np.empty(0, np.int64)]), return_counts=True)
+    code, positive = code[positive > 1], positive[positive > 1]
+    other, negative = np.unique(np.concatenate(seen[0] or [np.empty(0, np.int64)]), return_counts=True)
+    at = np.minimum(np.searchsorted(other, code), max(len(other) - 1, 0))
+    count = np.where(other[at] == code, negative[at], 0) if len(other) else np.zeros(len(code), np.int64)
+    odds = _surprise(positive, count, total)
+    return code[odds > 0], odds[odds > 0]
+
+
+def _window_lift(x: np.ndarray, code: np.ndarray, odds: np.ndarray, *, best: int = 3) -> np.ndarray:
+    """Per window the sum of its ``best`` strongest distinct phrases."""
+    out = np.zeros(len(x), np.float32)
+    if not len(code):
+        return out
+    for s in range(0, len(x), 16_384):
+        w = x[s : s + 16_384].astype(np.int64)
+        pair = np.where(w[:, 1:] > 0, (w[:, :-1] << 32) + w[:, 1:], 0)
+        all_ = np.hstack([w, pair])
+        at = np.minimum(np.searchsorted(code, all_), len(code) - 1)
+        row, col = np.nonzero(code[at] == all_)
+        at = at[row, col]
+        # codes are ascending and unique, so their places stand for them
+        row, at = np.divmod(np.unique(row * len(code) + at), len(code))
+        v = odds[at]
+        order = np.lexsort((-v, row))
+        row, v = row[order], v[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < best
+        out[s : s + len(w)] = np.bincount(row[first], v[first], len(w))
+    return out
+
+
+def _surprise(positive: np.ndarray, negative: np.ndarray, total: list[int], least: float = 1.0) -> np.ndarray:
+    """How strongly phrases are tied to positive documents: log odds at the cautious end of both counts, 0 below ``least``."""
     low, high = positive - 1.3 * positive**0.5, negative + 1.3 * (negative + 1) ** 0.5
-    odds = np.log(max(low, 1e-3) / total[1]) - np.log(high / total[0])
-    return float(odds) if odds > least else 0.0
+    odds = np.log(np.maximum(low, 1e-3) / total[1]) - np.log(high / total[0])
+    return np.where(odds > least, odds, 0.0)
 
 
 def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 4, steps: int = 300, batch: int = 192, rate: float = 4e-3, seed: int = 7) -> Network:
@@ -294,13 +430,7 @@ def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 4, steps
     x = np.concatenate(wins)
     held = rng.random(len(y)) < 0.15 if len(y) >= 200 else np.zeros(len(y), bool)  # for the threshold
     # nomination 0: phrases that occur in positive documents far more often than in negative ones
-    count = [Counter(), Counter()]
-    for i, n in enumerate(numbers):
-        if not held[i]:
-            count[y[i]].update(_phrases(n).tolist())
-    total = [max(1, int(((y == c) & ~held).sum())) for c in (0, 1)]
-    odds = {k: v for k, c in count[1].items() if c > 1 and (v := _surprise(c, count[0].get(k, 0), total)) > 0}
-    lift = np.array([sum(sorted((odds.get(k, 0.0) for k in _phrases(w).tolist()), reverse=True)[:3]) for w in x], np.float32)
+    lift = _window_lift(x, *_phrase_odds(numbers, y, ~held))
     rank, trainer = lift, Trainer(net, lex, seed)
     told = np.zeros(len(y), np.float32)  # what the phrases say of each document
     np.maximum.at(told, doc, lift)
@@ -343,13 +473,15 @@ def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float(np.median(grid[f1 >= f1.max() - 0.004]))
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, *, most: int = 9000, seed: int = 5) -> list[tuple[str | None, int]]:
-    """(text, label) of at most about ``most`` rated documents: the majority of the distinct ratings of each; ties,
-    and null ratings, are left out. The sample is drawn by a hash of the document, so its size is bounded."""
+def rated_sample(docs: DataFrame, ratings: DataFrame, *, most: int = 9000, characters: int = 60_000_000, seed: int = 5) -> list[tuple[str | None, int]]:
+    """(text, label) of at most about ``most`` rated documents with about ``characters`` characters in all: the majority
+    of the distinct ratings of each; ties, and null ratings, are left out. The sample is drawn by a hash of the
+    document, so what reaches the driver is bounded in rows and in bytes, whatever the texts' lengths."""
     votes = ratings.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "rater", "toxic").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("share")).where("share <> 0.5")
-    n = votes.count()
-    keep = votes.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(min(1.0, most / max(n, 1)) * (1 << 20))))
-    rows = keep.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", (F.col("share") > 0.5).cast("int").alias("y")).orderBy("doc_id").collect()
+    rated = stored(votes.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", (F.col("share") > 0.5).cast("int").alias("y")), "rated")
+    size = rated.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
+    share = min(1.0, most / max(size.n, 1), characters / max(size.c or 0, 1))
+    rows = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).orderBy("doc_id").collect()
     return [(r.text, r.y) for r in rows]
 
 
@@ -371,7 +503,7 @@ def score_documents(docs: DataFrame, net: Network, *, record: str = "doc_id", te
                 held, size, end = [], 0, start
                 while end < len(texts) and size < 40_000:  # windows at once
                     numbers = lex.encode(texts[end])
-                    if numbers:
+                    if len(numbers):
                         held.append((end, windows(numbers)))
                         size += len(held[-1][1])
                     end += 1

@@ -8,7 +8,29 @@ from tarnfield.llm import moderation as M
 
 @pytest.mark.parametrize(("token", "plain"), [("IDIOT!!", "idiot"), ("id1ot", "idiot"), ("i.d.i.o.t", "idiot"), ("idiоt", "idiot"), ("idiooooot", "idiot"), ("ｉｄｉｏｔ", "idiot"), ("Größe,", "grosse"), ("12.5", "0"), ("...", ""), ("id**t", "id*t"), ("p@r@s1t3", "parasite")])
 def test_one_spelling(token, plain):
-    assert M.plain_word(token) == plain
+    assert "".join(M.plain_words(token)) == plain
+
+
+def test_nothing_of_a_long_token_is_lost():
+    assert M.plain_words("this.is.a.joined.sentence.of.many.words.that.ends.with.abuse") == "this is a joined sentence of many words that ends with abuse".split()
+    assert M.plain_words("un\u200bseen".replace("u", "ü")) == ["unseen"]  # invisible marks go
+    hidden = "\u200b".join("a passage that is held together by marks nobody can see".split())
+    assert M.plain_words(hidden) == hidden.split("\u200b")
+    long = "ab" * 70
+    assert "".join(M.plain_words(long)) == long and max(map(len, M.plain_words(long))) <= M.PIECE
+    lex = M.Lexicon()
+    n = lex.encode("x " + " ".join("abcdefghijklmnopqrstuvwxyz") + ", y")
+    word = {v: k for k, v in lex.plain.items()}
+    assert [word[i] for i in n] == ["xabcdefghijklmnopqrstuvwxyz", "y"]
+    assert [len(lex.encode(t)) for t in ("", None, " ... ", long, "A, B, C, D")] == [0, 0, 0, 4, 4]
+
+
+def test_fast_scores_are_those_of_the_trained_pass():
+    net, lex = M.Network.new(3), M.Lexicon()
+    x = M.windows(lex.encode(" ".join(f"w{i % 37} v{i}" for i in range(300))))
+    table = M.table_of(net, lex)
+    want = net._forward(np.ascontiguousarray(x.T), table, keep=False)[0]
+    assert np.allclose(net.score(x, table, rows=7), want, atol=1e-5)
 
 
 def test_tokens_and_windows():
