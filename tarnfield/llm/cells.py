@@ -5,8 +5,8 @@ cells, and a pair of vectors is compared in the cells they share. Whatever is th
 from the original numbers in double precision.
 
 Skew: identical vectors are collapsed inside each task before anything is shuffled, so a group of copies costs one
-vector per task; cells that the sample shows to be heavy keep their centroid, or one for all of them that lie within
-the distance of a pair; and a cell above ``tile_rows`` is cut into buckets, all pairs of which are tasks of their own.
+vector per task; cells of a region that is dense in proportion to the distance of a pair are united; and a cell above
+``tile_rows`` is cut into buckets, all pairs of which are tasks of their own, so that nothing within it is lost.
 """
 
 from __future__ import annotations
@@ -75,26 +75,28 @@ class Cells:
         return np.concatenate(out).astype(np.int32) if out else np.empty((0, m), np.int32)
 
 
-def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, join: float = 0.0, seed: int = 17, rows: DataFrame | None = None) -> Cells:
+def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, reach: float = 0.0, seed: int = 17, rows: DataFrame | None = None, cells: int | None = None) -> Cells:
     """Distributed k-means with parallel oversampled seeding on a sample of about ``fit_rows`` rows.
 
-    The number of cells is ``per_root`` times the square root of the rows, so that the work per row grows with the
-    root of the table. Each seeding round draws k/2 rows in one pass, with probability proportional to the squared
-    distance to the seeds so far (exponential keys, the smallest ones win); the weighted seeds are reduced to k and
-    moved by ``steps`` passes of Lloyd's algorithm. Sums are formed in the tasks; the driver sees k rows per task of
-    the sample. Heavy cells whose centroids are at most ``join`` apart (the distance of a pair that is looked for) are
-    united, so that no pair of a dense region is lost between them.
+    The number of cells is ``cells``, or ``per_root`` times the square root of the rows, so that the work per row grows
+    with the root of the table. Each seeding round draws k/2 rows in one pass, with probability proportional to the
+    squared distance to the seeds so far (exponential keys, the smallest ones win); the weighted seeds are reduced to k
+    and moved by ``steps`` passes of Lloyd's algorithm. Sums are formed in the tasks and merged by blocks of cells; the
+    driver sees a few times k rows.
+
+    ``reach`` is the distance of the farthest pair that is looked for. Where vectors lie so close together that cells
+    would part such pairs (see :func:`_united`), the cells are united, so that no pair of a dense region is lost.
     """
     n = (rows if rows is not None else vectors).count()  # of the unfiltered table where given: its files know it
-    k = max(1, math.ceil(per_root * math.sqrt(n)))
+    k = max(1, cells or math.ceil(per_root * math.sqrt(n)))
     share = min(1.0, max(fit_rows, 32 * k) / max(n, 1))  # at least 32 rows a cell: with the root of the table, no more
     keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = stored(vectors.where(keep).coalesce(max(8, k // 256)), "cell-sample")
+    sample = stored(vectors.where(keep).repartition(max(8, k // 256)), "cell-sample")
     origin = np.zeros(dim, np.float32)
     if metric == "l2":
         mean = sample.select(*(F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dim))).first()
         origin = np.array([x or 0.0 for x in mean], np.float32)
-    cells = Cells(metric, dim, probes, np.zeros((1, dim), np.float32), np.ones(1, np.int32), origin)
+    found = Cells(metric, dim, probes, np.zeros((1, dim), np.float32), np.ones(1, np.int32), origin)
     want = max(1, k // 2)
 
     def draw(cells: Cells, rnd: int, want: int):
@@ -110,54 +112,65 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
                 keys, rows = keys[best], rows[best]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.float64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["key", "w"])
 
-        found = sample.mapInArrow(run, "key double, w binary").orderBy("key").limit(want).collect()
-        return np.frombuffer(b"".join(bytes(r.w) for r in found), np.float32).reshape(-1, dim)
-
-    def assign(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
-        """Members and vector sums of each cell."""
-        size = len(cells.centers)
+        rows = sample.mapInArrow(run, "key double, w binary").orderBy("key").limit(want).collect()
+        return np.frombuffer(b"".join(bytes(r.w) for r in rows), np.float32).reshape(-1, dim)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts, sums = np.zeros(size), np.zeros((size, dim))
-            for b in batches:
-                if b.num_rows:
-                    w = cells.place(matrix(b, dim))
-                    home = cells.nearest(w, 1)[:, 0]
-                    order = np.argsort(home, kind="stable")
-                    at = np.flatnonzero(np.diff(home[order], prepend=-1))
-                    counts[home[order][at]] += np.diff(np.r_[at, len(home)])
-                    sums[home[order][at]] += np.add.reduceat(w[order].astype(np.float64), at, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["c", "s"])
-
-        counts, sums = np.zeros(size), np.zeros((size, dim))
-        for r in sample.mapInArrow(run, "c binary, s binary").collect():
-            counts += np.frombuffer(r.c)
-            sums += np.frombuffer(r.s).reshape(size, dim)
-        return counts, sums
-
-    seeds = draw(cells, 0, 1)
+    seeds = draw(found, 0, 1)
     if not len(seeds):
         drop_stored(sample)
-        return cells
+        return found
     for r in range(1, rounds + 1):
-        cells.centers = seeds
-        seeds = np.unique(np.r_[seeds, draw(cells, r, want)], axis=0)
-    cells.centers = seeds
-    weights, _ = assign(cells)
-    cells.centers = _reduce_seeds(seeds, weights, k, seed)
-    counts = np.zeros(len(cells.centers))
+        found.centers = seeds
+        seeds = np.unique(np.r_[seeds, draw(found, r, want)], axis=0)
+    found.centers = seeds
+    found.centers = _reduce_seeds(seeds, _members(sample, found)[0], k, seed)
     for _ in range(steps):
-        counts, sums = assign(cells)
+        counts, sums, squares = _members(sample, found)
         moved = counts > 0
-        cells.centers = cells.centers.copy()
-        cells.centers[moved] = (sums[moved] / counts[moved, None]).astype(np.float32)
-    if join:
-        cells.centers = _united(cells.centers, counts, join)
-        counts, _ = assign(cells)
+        found.centers = found.centers.copy()
+        found.centers[moved] = (sums[moved] / counts[moved, None]).astype(np.float32)
+    if reach and steps:
+        spread = np.sqrt(np.maximum(squares - (sums**2).sum(axis=1) / np.maximum(counts, 1), 0) / np.maximum(counts - 1, 1))
+        found.centers = _united(found.centers, counts, spread, reach)
+    counts, _, _ = _members(sample, found)
     drop_stored(sample)
     # what is too heavy is cut into buckets (each vector is placed `probes` times)
-    cells.buckets = np.maximum(1, np.ceil(counts / max(share, 1e-12) * probes / tile_rows)).astype(np.int32)
-    return cells
+    found.buckets = np.maximum(1, np.ceil(counts / max(share, 1e-12) * probes / tile_rows)).astype(np.int32)
+    return found
+
+
+def _members(sample: DataFrame, cells: Cells, *, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members, vector sums and sums of squared lengths of each cell: partial sums of the tasks are merged by blocks of
+    cells, and each block reaches the driver once."""
+    size, dim = len(cells.centers), cells.dim
+    schema = "block int, c binary, s binary, q binary"
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 3])] if rows else [pa.array([], t) for t in [pa.int32(), *[pa.binary()] * 3]], names=["block", "c", "s", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums, squares = np.zeros(size), np.zeros((size, dim)), np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                w = cells.place(matrix(b, dim))
+                home = cells.nearest(w, 1)[:, 0]
+                order = np.argsort(home, kind="stable")
+                at = np.flatnonzero(np.diff(home[order], prepend=-1))
+                counts[home[order][at]] += np.diff(np.r_[at, len(home)])
+                w = w[order].astype(np.float64)
+                sums[home[order][at]] += np.add.reduceat(w, at, axis=0)
+                squares[home[order][at]] += np.add.reduceat((w * w).sum(axis=1), at)
+        yield table([(s // block, counts[s : s + block].tobytes(), sums[s : s + block].tobytes(), squares[s : s + block].tobytes()) for s in range(0, size, block) if counts[s : s + block].any()])
+
+    def merge(t: pa.Table) -> pa.Table:
+        total = [sum(np.frombuffer(x) for x in t[c].to_pylist()) for c in ("c", "s", "q")]
+        return pa.Table.from_batches([table([(t["block"][0].as_py(), *(x.tobytes() for x in total))])])
+
+    counts, sums, squares = np.zeros(size), np.zeros((size, dim)), np.zeros(size)
+    for r in sample.mapInArrow(run, schema).groupBy("block").applyInArrow(merge, schema).collect():
+        part = slice(r.block * block, (r.block + 1) * block)
+        counts[part], sums[part], squares[part] = np.frombuffer(r.c), np.frombuffer(r.s).reshape(-1, dim), np.frombuffer(r.q)
+    return counts, sums, squares
 
 
 def hash_unit(ids: np.ndarray, seed: int, rnd: int) -> np.ndarray:
@@ -195,7 +208,8 @@ def _reduce_seeds(seeds: np.ndarray, weights: np.ndarray, k: int, seed: int) ->
         np.minimum(far, norm + norm[chosen[-1]] - 2 * seeds @ seeds[chosen[-1]], out=far)
     centers = seeds[chosen].copy()
     for _ in range(3):
-        home = np.argmax(seeds @ centers.T - 0.5 * np.einsum("ij,ij->i", centers, centers), axis=1)
+        half = 0.5 * np.einsum("ij,ij->i", centers, centers)
+        home = np.concatenate([np.argmax(seeds[s : s + 2048] @ centers.T - half, axis=1) for s in range(0, len(seeds), 2048)])
         total = np.bincount(home, weights, len(centers))
         for d in range(seeds.shape[1]):
             s = np.bincount(home, weights * seeds[:, d], len(centers))
@@ -203,21 +217,43 @@ def _reduce_seeds(seeds: np.ndarray, weights: np.ndarray, k: int, seed: int) ->
     return centers
 
 
-def _united(centers: np.ndarray, counts: np.ndarray, join: float) -> np.ndarray:
-    """Centroids with one weighted mean for each set of heavy cells within ``join`` of each other and the cells as near to them."""
-    total = counts.sum()
+def _united(centers: np.ndarray, counts: np.ndarray, spread: np.ndarray, reach: float, *, ratio: float = 1.4, least: int = 8) -> np.ndarray:
+    """Centroids with one weighted mean for each dense region.
+
+    How often the two vectors of a pair share a cell depends on their distance in proportion to the spread of the cell
+    (root mean square distance from its centroid). A cell is dense where its spread is at most ``ratio`` times the
+    distance of a pair; dense cells within ``reach`` of each other are one region, and so are cells of any kind within
+    ``reach`` of one of them (over dense cells only, so that the others form no chain). A region is then compared as a
+    whole, in bucket pairs.
+    """
+    dense = np.flatnonzero((spread <= ratio * reach) & (counts >= least))
+    if not len(dense):
+        return centers
+    label = np.arange(len(centers))
+    norm = np.einsum("ij,ij->i", centers, centers)
+    # nearest dense label of every cell within reach, until nothing changes
     while True:
-        heavy = np.flatnonzero(counts > 4 * max(total / max(len(counts), 1), 1))
-        apart = np.sqrt(np.maximum(((centers[heavy, None].astype(np.float64) - centers[None]) ** 2).sum(axis=2), 0))
-        near = apart <= join
-        if not (near.sum(axis=1) > 1).any():
-            return centers
-        h = int(np.argmax(near.sum(axis=1)))
-        part = near[h]
-        while not np.array_equal(more := part | near[part[heavy]].any(axis=0), part):  # over heavy cells only, so that light ones form no chain
-            part = more
-        mean = np.average(centers[part], axis=0, weights=np.maximum(counts[part], 1e-9)).astype(np.float32)
-        centers, counts = np.r_[centers[~part], mean[None]], np.r_[counts[~part], counts[part].sum()]
+        before = label.copy()
+        for s in range(0, len(dense), 512):
+            part = dense[s : s + 512]
+            near = norm[part, None] + norm[dense] - 2 * centers[part] @ centers[dense].T <= reach * reach
+            low = np.where(near, label[dense], len(centers)).min(axis=1)
+            np.minimum.at(label, label[part], low)
+            label[part] = np.minimum(label[part], low)
+        while not np.array_equal(deeper := label[label], label):
+            label = deeper
+        if np.array_equal(before, label):
+            break
+    rest = np.setdiff1d(np.arange(len(centers)), dense)
+    for s in range(0, len(rest), 512):
+        part = rest[s : s + 512]
+        apart = norm[part, None] + norm[dense] - 2 * centers[part] @ centers[dense].T
+        close = apart.min(axis=1) <= reach * reach
+        label[part[close]] = label[dense[apart[close].argmin(axis=1)]]
+    groups, at = np.unique(label, return_inverse=True)
+    weight = np.maximum(counts, 1e-9)
+    total = np.bincount(at, weight)
+    return np.stack([np.bincount(at, weight * centers[:, d]) / total for d in range(centers.shape[1])], axis=1).astype(np.float32)
 
 
 # ---------------------------------------------------------------- blocks
@@ -294,7 +330,7 @@ def blocks(vectors: DataFrame, cells: Cells, *, ids_kept: int, rows_at_once: int
             for s, e in zip(cuts, np.r_[cuts[1:], len(cell)]):
                 p = point[s:e]
                 own = np.concatenate([flat[at[q] : at[q] + per[q]] for q in p]) if per[p].max() > 1 else flat[at[p]]
-                data = (len(p), pack(own[:, None]), per[p].astype(np.uint8).tobytes(), pack(x[p]), pack(near[p]))
+                data = (len(p), pack(own[:, None]), pack(per[p].astype(np.int32)[:, None]), pack(x[p]), pack(near[p]))
                 for t in range(cells.buckets[cell[s]]):
                     out.append((int(cell[s]), min(t, int(b[s])), max(t, int(b[s])), int(b[s]), *data))
                 if len(out) >= 512:
@@ -341,7 +377,7 @@ class Tile:
         self.cell, self.i, self.j = (table[c][0].as_py() for c in ("cell", "i", "j"))
         xs, ids, pers, near, side = [], [], [], [], []
         for n, bucket, i, p, v, c in zip(*(table[x].to_pylist() for x in ("n", "bucket", "ids", "per", "vecs", "cells"))):
-            per = np.frombuffer(p, np.uint8).astype(np.int64)
+            per = unpack(p, n, np.int32, 1).ravel().astype(np.int64)
             xs.append(unpack(v, n, np.float32, cells.dim))
             ids.append(unpack(i, int(per.sum()), np.int64, 1).ravel())
             pers.append(per)

@@ -31,7 +31,7 @@ def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound:
     """
     vectors = usable_vectors(df, record, vector, dim)
     reach = float(np.sqrt(2 - 2 * bound if metric == "cosine" else bound))  # the distance of the farthest close pair
-    cells = fit_cells(vectors, metric=metric, dim=dim, probes=probes, per_root=per_root, join=reach, rows=df, **fit)
+    cells = fit_cells(vectors, metric=metric, dim=dim, probes=probes, per_root=per_root, reach=reach, rows=df, **fit)
 
     def tile(table: pa.Table) -> pa.Table:
         if (left := copies(table)) is not None:
