@@ -84,3 +84,12 @@ def test_a_null_group_is_settled_exactly(spark):
     brackets = spark.createDataFrame([(m, "a", 101, 0.0, 200.0) for m in (None, "x")], "run_method string, filter_name string, n bigint, p50_low double, p50_high double")
     got = exact_percentile(values, brackets, ["run_method", "filter_name"], "v", "p50", 1, 2).collect()
     assert {tuple(r) for r in got} == {(None, "a", 51.0), ("x", "a", 51.0)}
+
+
+def test_more_partitions_than_shuffle_partitions(spark):
+    from tarnfield.llm.percentiles import fan_in_rounds
+
+    assert [fan_in_rounds(p, 4) for p in (1, 4, 5, 16, 17, 64, 65)] == [1, 1, 2, 2, 3, 3, 4]
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x")).repartition(70)
+    got = {r.g: (r.n, r.p50_low, r.p50_high) for r in percentiles(sketch_groups(df, ["g"], "x", fan_in=4), ["g"], {"p50": (1, 2)}).collect()}
+    assert set(got) == {0, 1} and all(n == 2000 and low < 1998 + g <= high for g, (n, low, high) in got.items())

@@ -47,6 +47,12 @@ def test_marks_and_empty(spark):
     assert mark_terms(term_records(df.limit(0), "id", "l", field="f")).count() == 0
 
 
+def test_words_as_terms(spark):
+    df = spark.createDataFrame([(1, ["rye", "rye", "oat", None, ""]), (2, ["rye"]), (2, ["rye"]), (3, None), (4, ["-1"])], "id bigint, l array<string>")
+    got = {r.term: (r.occurrences, r.records, r.mark) for r in mark_terms(term_records(df, "id", "l", field="f", ignore="-1", kind="string"), rare_below=2, common_share=(1, 3)).collect()}
+    assert got == {"rye": (3, 2, "common"), "oat": (1, 1, "rare"), "": (1, 1, "rare")}
+
+
 def brute_pairs(baskets):
     n, ab = Counter(), Counter()
     for x in baskets.values():
@@ -78,13 +84,28 @@ def test_incremental_pairs_equal_a_full_count(spark, share, lift):
     assert scores(t) == wanted(now, 2, share, lift)
     t.apply(frame({}) if False else frame({5: [1]}).limit(0))
     assert scores(t) == wanted(now, 2, share, lift)
-    t.apply(frame({i: [] for i in range(200, 208)}))
-    now.update({i: [] for i in range(200, 208)})
-    assert scores(t) == wanted(now, 2, share, lift)
+    t.apply(frame({i: None for i in range(200, 208)}))  # null terms remove the record
+    now = {i: x for i, x in now.items() if i < 200}
+    assert scores(t) == wanted(now, 2, share, lift) and t.records().first().total == len(now)
+    again = PairTable.open(spark, t.folder, t.support, chunk=2).apply(frame({0: [1, 99], 3: now[3]}))
+    now[0] = [1, 99]
+    assert scores(again) == wanted(now, 2, share, lift)
+
+
+def test_one_changed_basket_touches_its_buckets_only(spark):
+    frame = lambda b: spark.createDataFrame([("f", i, x) for i, x in b.items()], "field string, record bigint, terms array<bigint>")
+    first = {i: [i % 4, 10 + i % 7, 20 + i % 3] for i in range(400)}
+    t = PairTable(spark, Support(2), buckets=32).apply(frame(first))
+    t.scores()
+    was = {x: dict(getattr(t, x).current) for x in ("baskets", "marginals", "counts")}
+    t.apply(frame({7: [3, 10, 22], 8: first[8]}))  # one term of one basket; the other stays as it is
+    changed = {x: sum(getattr(t, x).current.get(b) != p for b, p in was[x].items()) for x in was}
+    assert changed["baskets"] == 1 and changed["marginals"] <= 2 and changed["counts"] <= 4 and t.filled == 1
+    assert scores(t) == wanted({**first, 7: [3, 10, 22]}, 2, (0, 1), 0)
 
 
 def test_pairs_nulls_and_long_basket(spark):
-    rows = [("f", 1, [*range(300)]), ("f", 2, [*range(300)]), ("f", None, [1, 2]), (None, 3, [1, 2]), ("f", 4, None), ("f", 5, [None, 7, 7])]
+    rows = [("f", 1, [*range(300)]), ("f", 2, [*range(300)]), ("f", None, [1, 2]), (None, 3, [1, 2]), ("f", 4, []), ("f", 5, [None, 7, 7]), ("f", 6, None)]
     t = PairTable(spark, Support(2)).apply(spark.createDataFrame(rows, "field string, record bigint, terms array<bigint>"))
     assert t.scores().count() == 300 * 299 // 2 and t.records().first().total == 4
 

@@ -88,6 +88,22 @@ def test_many_copies_of_one_vector(spark):
     assert len(got) == 400 and all(v == [j for j in range(5) if j != i][:3] for i, v in got.items())
 
 
+def test_more_copies_than_a_byte_counts(spark):
+    x = planted()
+    x[100:440] = x[100]
+    got = {}
+    for r in close_neighbours(frame(spark, x), "id", "v", k=300, bound=0.9).orderBy("rank_no").collect():
+        got.setdefault(r.id_a, []).append(r.id_b)
+    assert got[100] == list(range(101, 401)) and got[439] == list(range(100, 400))
+
+
+def test_exact_groups_are_those_of_the_cells(spark):
+    x = planted()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    a = similar_groups(frame(spark, x), "id", "v", least=0.85, smallest=2)
+    assert key(a) == key(similar_groups(frame(spark, x), "id", "v", least=0.85, smallest=2, exact=True, tile_rows=150))
+
+
 def test_search_is_exact(spark):
     x = planted()
     df = frame(spark, x, junk(x))
