@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfield.session import stored
+
 #: items protected at the start are SECTIONS * k; k is the parameter of the accuracy
 SECTIONS = 3
 _HEAD = np.dtype([("level", "<i4"), ("state", "<i8"), ("sections", "<i4"), ("size", "<f8"), ("events", "<i8"), ("top", "<f8"), ("items", "<i8")])
@@ -161,10 +163,9 @@ def sketch_groups(df: DataFrame, by: list[str], value: str, *, k: int = 64, fan_
     """One sketch per group ``by``: columns ``by``, ``n`` and ``sketch`` (binary).
 
     Every input partition builds its own sketches (a hot group costs one sketch per partition, not its rows), then
-    sketches of a group are merged in rounds of at most about ``fan_in`` at once. Null, NaN and infinite values are
+    sketches of a group are merged in as many rounds as it takes for ``fan_in`` at once. Null, NaN and infinite values are
     not counted; a null in ``by`` is a group of its own; a group without values, and an empty table, give no row.
     """
-    spark = df.sparkSession
     names = [f"g{i}" for i in range(len(by))]
     rows = df.select(*(F.col(f"`{b}`").alias(g) for b, g in zip(by, names)), F.col(f"`{value}`").cast("double").alias("v"))
     rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != F.lit(math.inf)))
@@ -211,14 +212,24 @@ def sketch_groups(df: DataFrame, by: list[str], value: str, *, k: int = 64, fan_
         if sketches:
             yield rows_out()
 
-    partial = rows.mapInArrow(build, out)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for r in range(rounds := max(1, math.ceil(math.log(max(parts, 2), fan_in)))):
+    # the sketches of the tasks are few and small; written, they tell how many there are to merge, and lost executors
+    # cost no second pass over the rows
+    partial = stored(rows.mapInArrow(build, out), "sketches")
+    parts = (partial.agg(F.max("part")).first()[0] or 0) + 1
+    for r in range(rounds := fan_in_rounds(parts, fan_in)):
         up = F.lit(0) if r == rounds - 1 else (F.col("part") / fan_in).cast("int")
         partial = _merged(partial.withColumn("part", up).groupBy(*names, "part"), out, names)
     return partial.select(*(F.col(g).alias(b) for g, b in zip(names, by)), "n", "sketch")
 
 
+def fan_in_rounds(parts: int, fan_in: int) -> int:
+    """Rounds until ``parts`` states of a group are one, if at most ``fan_in`` are merged at once."""
+    rounds, reach = 1, fan_in
+    while reach < parts:
+        rounds, reach = rounds + 1, reach * fan_in
+    return rounds
+
+
 def merge_groups(sketches: DataFrame, by: list[str]) -> DataFrame:
     """Combine sketches (columns ``by``, ``n``, ``sketch``), say of several days, into one per group ``by``."""
     names = [f"g{i}" for i in range(len(by))]

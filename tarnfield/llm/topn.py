@@ -12,9 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tarnfield.session import new_path
+from tarnfield.session import stored
 
 
 def latest_rows(df: DataFrame, key: list[str], version: str, value: str) -> DataFrame:
@@ -24,7 +23,7 @@ def latest_rows(df: DataFrame, key: list[str], version: str, value: str) -> Data
     return df.groupBy(*key).agg(best).select(*key, F.col("best.x").alias(value))
 
 
-def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int, *, bands: tuple[float, ...] = (0.9, 0.6)) -> DataFrame:
+def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int, *, bands: tuple[float, ...] = (0.9, 0.7, 0.4)) -> DataFrame:
     """The first ``n`` rows of each ``group`` by ``score`` descending, then ``ties`` ascending.
 
     ``bands`` are the quantiles of the score at which bands are cut (estimates suffice: a cut only decides in which
@@ -32,28 +31,24 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int,
     rows; an empty table gives none. A null group is a group. Columns besides those named are dropped; the rank is
     ``rank_no``. Equal rows (same group, score and ties) are all kept as items, in either order.
     """
-    spark = df.sparkSession
     rows = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*group, score, *ties]))).where(F.col(f"`{score}`").isNotNull())
-    # Band edges from a bounded-error quantile pass; written once, partitioned by band, so a round reads its band only.
-    path = new_path(spark, "bands")
-    held = rows.persist()
-    edges = sorted(set(held.approxQuantile(score, list(bands), 0.02)), reverse=True)
-    band = reduce(lambda acc, e: F.when(F.col(score) >= F.lit(e[1]), e[0]).otherwise(acc), reversed(list(enumerate(edges))), F.lit(len(edges)))
-    held.withColumn("band_", band).write.partitionBy("band_").parquet(path)
-    held.unpersist()
-    table = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("band_", T.IntegerType())])).parquet(path) if _exists(spark, path) else rows.withColumn("band_", F.lit(0))
+    # written once in ranges of the score, so that each round reads the files of its band only; the ties are part of
+    # the order, so that a score that very many rows share is spread over the ranges
+    table = stored(rows.repartitionByRange(F.col(f"`{score}`").desc(), *(F.col(f"`{t}`") for t in ties)), "ranges")
+    edges = sorted(set(table.approxQuantile(score, list(bands), 0.02)), reverse=True)
     candidates: list[DataFrame] = []
     filled: DataFrame | None = None
-    for b in range(len(edges) + 1):
-        part = table.where(F.col("band_") == b).drop("band_")
+    for upper, lower in zip([None, *edges], [*edges, None]):
+        part = table
+        if upper is not None:
+            part = part.where(F.col(f"`{score}`") < F.lit(upper))
+        if lower is not None:
+            part = part.where(F.col(f"`{score}`") >= F.lit(lower))
         if filled is not None:
             part = part.join(filled, _same(part, filled, group), "left_anti")
         # n per group and task before the shuffle (Spark's window group limit), n per group after it
-        part = _ranked(part, group, score, ties, n).drop("rank_no")
-        path = new_path(spark, "band-top")
-        part.write.parquet(path)
-        candidates.append(spark.read.schema(rows.schema).parquet(path))
-        if b < len(edges):
+        candidates.append(stored(_ranked(part, group, score, ties, n).drop("rank_no"), "band-top"))
+        if lower is not None:
             so_far = reduce(DataFrame.unionByName, candidates).groupBy(*group).agg(F.count("*").alias("n_"))
             filled = so_far.where(F.col("n_") >= n).select(*group)
     return _ranked(reduce(DataFrame.unionByName, candidates), group, score, ties, n)
@@ -67,8 +62,3 @@ def _ranked(df: DataFrame, group: list[str], score: str, ties: list[str], n: int
 def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in cols))
 
-
-def _exists(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return any(s.getPath().getName().startswith("band_=") for s in fs.listStatus(p))
