@@ -51,20 +51,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path for a table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+#: folders handed out by this process, for :func:`clear_stored`
+_WRITTEN: list[str] = []
 
 
-#: tables written by this process, for :func:`clear_stored`
-_WRITTEN: list[str] = []
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path for a table in the shared folder; :func:`clear_stored` removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _WRITTEN.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

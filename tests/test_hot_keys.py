@@ -10,11 +10,20 @@ from tarnfield.plans.hot_keys import p7_found
 def test_tree_aggregate_equals_group_by_under_skew(spark):
     rows = [(i % 7 if i % 3 else 0, float(i), i % 2 == 0) for i in range(3000)]
     df = spark.createDataFrame(rows, "k int, v double, b boolean").repartition(37)
-    got = tree_aggregate(df, ["k"], {"n": ("count", F.col("v")), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v")), "any": ("bool_or", F.col("b"))}, fan_in=3, chunks=37)
+    got = tree_aggregate(df, ["k"], {"n": ("count", F.col("v")), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v")), "any": ("bool_or", F.col("b"))}, fan_in=3, chunk_rows=16)
     want = df.groupBy("k").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_or("b").alias("any"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_no_group_of_a_round_has_more_partials_than_the_fan_in(spark):
+    """More input partitions than shuffle partitions: every merge after the first reads at most fan_in rows a key."""
+    df = spark.range(6000, numPartitions=90).withColumn("k", F.lit("hot"))
+    plan = tree_aggregate(df, ["k"], {"n": ("count", F.col("id"))}, fan_in=4)
+    assert [tuple(r) for r in plan.collect()] == [("hot", 6000)]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate [") == 4  # 90 states: 23, 6, 2, 1
+
+
 def test_tree_aggregate_nulls_empty_and_clashing_names(spark):
     df = spark.createDataFrame([(None, 1.0, 5, 6), (None, None, 5, 6), ("x", None, 5, 6)], "k string, v double, chunk int, k0 int")
     got = {r.k: (r.n, r.s) for r in tree_aggregate(df, ["k"], {"n": ("count", F.col("v")), "s": ("sum", F.col("v"))}).collect()}
