@@ -417,22 +417,30 @@ class Tile:
         least = bound - 1 if self.metric == "cosine" else -bound / 2
         return np.float32((least - self.slack) / self.step2), np.float32((least + self.slack) / self.step2)
 
-    def survivors(self, bound: float, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs (a, b) of points, each once, that may reach ``bound``, and which of them surely do."""
+    def survivors(self, bound: float, rows: int = 256, columns: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (a, b) of points, each once, that may reach ``bound``, and which of them surely do.
+
+        Products are formed in blocks that stay in the cache of a core until they have been looked at.
+        """
         low, high = self._bounds(bound)
-        same = self.i == self.j
+        same, n = self.i == self.j, len(self.x)
+        room = np.empty(rows * columns, np.float32)
         for s in range(0, self.first, rows):
-            e = min(s + rows, self.first)
-            base = s if same else self.first
-            product = self.left[s:e] @ self.right[base:].T
-            hit = np.flatnonzero(product >= low)
-            a, b = hit // product.shape[1] + s, hit % product.shape[1] + base
-            sure = product.ravel()[hit] >= high
-            if same:
-                up = a < b
-                a, b, sure = a[up], b[up], sure[up]
-            if len(a):
-                yield a, b, sure
+            left = self.left[s : min(s + rows, self.first)]
+            for c in range(s if same else self.first, n, columns):
+                right = self.right[c : c + columns]
+                product = room[: len(left) * len(right)].reshape(len(left), len(right))
+                np.matmul(left, right.T, out=product)
+                if product.max() < low:
+                    continue
+                hit = np.flatnonzero(product >= low)
+                a, b = hit // len(right) + s, hit % len(right) + c
+                sure = product.ravel()[hit] >= high
+                if same and c < s + rows:  # the diagonal is in this block
+                    up = a < b
+                    a, b, sure = a[up], b[up], sure[up]
+                if len(a):
+                    yield a, b, sure
 
     def best(self, bound: float, k: int, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """Pairs (a, b) that may reach ``bound`` and be among the ``k`` best of a, and whether they stand for (b, a) too.
@@ -443,7 +451,7 @@ class Tile:
         """
         some = np.arange(0, self.first, max(1, self.first // 128))
         if np.count_nonzero(self.left[some] @ self.right.T >= self._bounds(bound)[0]) <= 4 * k * len(some):
-            for a, b, _ in self.survivors(bound, rows):
+            for a, b, _ in self.survivors(bound):
                 yield a, b, True
             return
         low, _ = self._bounds(bound)

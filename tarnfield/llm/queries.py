@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.clusters import similar_groups, typical_members
+from tarnfield.llm.clusters import hashed_features, kmeans_groups, similar_groups, typical_members
 from tarnfield.llm.leakage import leaked
 from tarnfield.llm.moderation import rated_sample, score_documents, train
 from tarnfield.llm.neighbours import close_neighbours, search
@@ -96,6 +96,11 @@ def p2_typical(spark: SparkSession, d: str) -> DataFrame:
     return typical_members(groups, reviews, "id", "embedding")
 
 
+def p2_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Texts vectorised by hashed weighted features and divided into 40 k-means clusters: sizes and typical documents."""
+    return kmeans_groups(hashed_features(load(spark, d, "documents"), "doc_id", "text"), k=40)
+
+
 _USABLE = "len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
 _AMAZON_CTE = f"u AS (SELECT id, any_value(CAST(embedding AS DOUBLE[64])) AS v FROM {AMAZON} WHERE {_USABLE} GROUP BY id)"
 P2_SQL = f"""
@@ -305,6 +310,7 @@ QUERIES = {
     "p1_by_day": p1_by_day,
     "p2_found": p2_found,
     "p2_typical": p2_typical,
+    "p2_topics": p2_topics,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p4_found": p4_found,

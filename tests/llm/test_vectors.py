@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.llm import cells as C
-from tarnfield.llm.clusters import components, hashed_features, similar_groups, typical_members, union_find
+from tarnfield.llm.clusters import components, hashed_features, kmeans_groups, similar_groups, typical_members, union_find
 from tarnfield.llm.neighbours import _scan, close_neighbours, search
 
 
@@ -145,6 +145,22 @@ def test_similar_groups_equal_components(spark):
     assert close_neighbours(df.limit(0), "id", "v", k=3, bound=0.9).count() == 0
 
 
+def test_kmeans_groups_assign_every_row_and_name_the_nearest(spark):
+    x = planted()
+    rows = frame(spark, x, junk(x)).drop("vec", "cell").withColumnRenamed("v", "vec")
+    got = kmeans_groups(rows, k=12, members=700).collect()
+    ids = [r.id for r in got]
+    assert sorted(ids) == list(range(600)) and len({r.cluster_key for r in got}) <= 12
+    for key in {r.cluster_key for r in got}:
+        mine = sorted((r for r in got if r.cluster_key == key), key=lambda r: r.rank_no)
+        assert [r.rank_no for r in mine] == list(range(1, mine[0].size + 1))
+        assert [(r.distance, r.id) for r in mine] == sorted((r.distance, r.id) for r in mine)
+    home = {r.id: r.cluster_key for r in got}
+    assert len({home[i] for i in range(500, 515)} | {home[0]}) == 1  # copies stay together
+    assert kmeans_groups(rows.limit(0), k=3).count() == 0
+    assert len({r.cluster_key for r in kmeans_groups(rows.where("id in (1, 2)"), k=9).collect()}) <= 2
+
+
 def test_sparse_links_of_a_hot_region_are_all_seen(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((6000, 64))
