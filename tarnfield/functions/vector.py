@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -65,36 +65,53 @@ def vector_text(a: Column | str) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ","), F.lit("]"))
 
 
-def batch_topk(candidates: DataFrame, query_ids: Sequence[int], queries: np.ndarray, k: int, *, id_column: str = "id", vector: str = "embedding", keep: Sequence[str] = (), exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, distance_sq, *keep): per query and Arrow batch the k nearest candidates, for a final ranking.
+def batch_topk(candidates: DataFrame, query_ids: Sequence[int], queries: np.ndarray, k: int, *, id_column: str = "id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """(query_id, id, distance_sq): per query and Arrow batch the k nearest candidates, for a final ranking.
 
     The norm expansion on a matrix product only selects; distances that leave are direct double-precision
     differences, and the selection keeps a margin for its rounding. ``queries`` are a stated, bounded set.
     """
-    ids, q = np.asarray(query_ids, np.int64), np.asarray(queries, np.float64)
-    names = [id_column, vector, *keep]
-    fields = {f.name: f.dataType for f in candidates.schema.fields}
-    out = "query_id bigint, id bigint, distance_sq double" + "".join(f", {c} {fields[c].simpleString()}" for c in keep)
+    return batch_topk_by(candidates, {"": F.lit(True)}, query_ids, queries, k, id_column=id_column, vector=vector, exclude_self=exclude_self).drop("filter_name")
+
+
+def batch_topk_by(candidates: DataFrame, filters: Mapping[str, Column], query_ids: Sequence[int], queries: np.ndarray, k: int, *, id_column: str = "id", vector: str = "embedding", exclude_self: bool = True, queries_at_once: int = 256) -> DataFrame:
+    """(filter_name, query_id, id, distance_sq): the same for each of several filters over the candidates.
+
+    A row's distances are computed once, however many filters it satisfies: the filters travel as the bits of one
+    number per row, and each of them picks its k best from the same matrix. A null filter is not satisfied.
+    """
+    ids, q, names = np.asarray(query_ids, np.int64), np.asarray(queries, np.float64), list(filters)
+    words = [names[s : s + 62] for s in range(0, len(names), 62)]
+    bits = [sum((F.when(filters[n], F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, n in enumerate(word)), F.lit(0).cast("bigint")) for word in words]
+    rows = candidates.select(F.col(id_column).alias("id"), F.col(vector).alias("vec"), *(b.alias(f"bits{i}") for i, b in enumerate(bits)))
+    rows = rows.where(F.greatest(*(F.col(f"bits{i}") for i in range(len(words))), F.lit(0)) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qn = (q**2).sum(axis=1)
         for b in batches:
             if not b.num_rows:
                 continue
-            cid = b[id_column].to_numpy(zero_copy_only=False).astype(np.int64)
-            x = b[vector].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            near = qn[:, None] + (x**2).sum(axis=1)[None] - 2 * q @ x.T
-            if exclude_self:
-                near[ids[:, None] == cid[None]] = np.inf
-            n = min(k, b.num_rows)
-            kth = np.partition(near, n - 1, axis=1)[:, n - 1]
-            i, j = np.nonzero((near <= kth[:, None] + 1e-9 * (1 + np.abs(kth[:, None]))) & np.isfinite(near))
-            d = ((q[i] - x[j]) ** 2).cumsum(axis=1)[:, -1]  # left to right, as the expression does
-            order = np.lexsort((cid[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            top = np.arange(len(i)) - np.searchsorted(i, i) < k
-            i, j, d = i[top], j[top], d[top]
-            rows = [pa.array(ids[i]), pa.array(cid[j]), pa.array(d), *(b[c].take(pa.array(j)) for c in keep)]
-            yield pa.RecordBatch.from_arrays(rows, names=["query_id", "id", "distance_sq", *keep])
-
-    return candidates.select(*names).mapInArrow(run, out)
+            cid = b["id"].to_numpy(zero_copy_only=False).astype(np.int64)
+            x = b["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            xn, flags = (x**2).sum(axis=1), [b[f"bits{i}"].to_numpy() for i in range(len(words))]
+            for s in range(0, len(ids), queries_at_once):
+                part = slice(s, s + queries_at_once)
+                near = qn[part, None] + xn[None] - 2 * q[part] @ x.T
+                if exclude_self:
+                    near[ids[part, None] == cid[None]] = np.inf
+                for n, name in enumerate(names):
+                    mine = np.flatnonzero(flags[n // 62] >> (n % 62) & 1)
+                    if not len(mine):
+                        continue
+                    own = near[:, mine] if len(mine) < len(cid) else near
+                    m = min(k, len(mine))
+                    kth = np.partition(own, m - 1, axis=1)[:, m - 1 : m]
+                    i, j = np.nonzero((own <= kth + 1e-9 * (1 + np.abs(kth))) & np.isfinite(own))
+                    j = mine[j]
+                    d = ((q[part][i] - x[j]) ** 2).cumsum(axis=1)[:, -1]  # left to right, as the expression does
+                    order = np.lexsort((cid[j], d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * int(top.sum()), pa.string()), pa.array(ids[part][i[top]]), pa.array(cid[j[top]]), pa.array(d[top])], names=["filter_name", "query_id", "id", "distance_sq"])
+
+    return rows.mapInArrow(run, "filter_name string, query_id bigint, id bigint, distance_sq double")

@@ -335,17 +335,53 @@ def implies(actual: object, wanted: object) -> bool:
     return all(any(all(any(_leaf_implies(x, y) for x in ga) for y in gb) for gb in b) for ga in a)
 
 
-#: Named predicates over the review table.
+#: Buckets of price and popularity, their labels and predicates.
+PRICES = {
+    "p_le10": "has_price AND price <= 10",
+    "p_10_20": "has_price AND price > 10 AND price <= 20",
+    "p_20_50": "has_price AND price > 20 AND price <= 50",
+    "p_gt50": "has_price AND price > 50",
+    "p_missing": "NOT has_price",
+}
+POPULARITY = {
+    "pop_high": "item_rating_number >= 1000",
+    "pop_mid": "item_rating_number >= 100 AND item_rating_number < 1000",
+    "pop_low": "item_rating_number < 100",
+}
+#: Named predicates over the review table, and the mixed ones of five-star queries.
 NAMED = {
-    "popular": "item_rating_number >= 1000",
-    "cheap": "has_price AND price <= 10",
-    "mid_price": "has_price AND price >= 10 AND price < 20",
-    "no_price": "NOT has_price",
-    "long_review": "review_text_len >= 500",
-    "helpful": "helpful_vote >= 20",
-    "top_rated": "rating = 5",
-    "verified": "verified_purchase",
+    "helpful_ge20": "helpful_vote >= 20",
+    "grocery_long500": "main_category = 'Grocery' AND review_text_len >= 500",
+    "grocery_helpful": "main_category = 'Grocery' AND helpful_vote >= 1",
+    "rating5_price_le10": "has_price AND price <= 10 AND rating = 5",
+} | {f"c4_mixed_5_{p}_{q}": f"rating = 5 AND {x} AND {y}" for p, x in PRICES.items() for q, y in POPULARITY.items()}
+#: The filter catalog by target selectivity in percent.
+CATALOG = {
+    "popular_ge1000": (50.0, "item_rating_number >= 1000"),
+    "popular_ge1340": (45.0, "item_rating_number >= 1340"),
+    "popular_ge1780": (40.0, "item_rating_number >= 1780"),
+    "popular_ge2428": (35.0, "item_rating_number >= 2428"),
+    "popular_ge3284": (30.0, "item_rating_number >= 3284"),
+    "popular_ge4559": (25.0, "item_rating_number >= 4559"),
+    "price_10_to_20": (20.0, "has_price AND price > 10 AND price <= 20"),
+    "popular_ge10066": (15.0, "item_rating_number >= 10066"),
+    "rating5_price_le10": (10.0, "has_price AND price <= 10 AND rating = 5"),
+    "long_review_ge500": (5.0, "review_text_len >= 500"),
+    "grocery_rating5": (2.0, "main_category = 'Grocery' AND rating = 5"),
+    "grocery_helpful": (1.0, "main_category = 'Grocery' AND helpful_vote >= 1"),
+    "helpful_ge20": (0.5, "helpful_vote >= 20"),
+    "grocery_long500": (0.2, "main_category = 'Grocery' AND review_text_len >= 500"),
 }
+REVIEW_COLUMNS = {"id": "bigint", "rating": "double", "verified_purchase": "boolean", "helpful_vote": "int", "review_text_len": "int", "main_category": "string", "price": "double", "has_price": "boolean", "item_rating_number": "int"}
+
+
+def named(name: str) -> object:
+    """The tree of a named predicate, or of the text after ``sql:``; an unknown name is an error."""
+    if name.startswith("sql:"):
+        return parse(name.removeprefix("sql:"), REVIEW_COLUMNS)
+    if name not in NAMED:
+        raise PredicateError(f"no such filter: {name}")
+    return parse(NAMED[name], REVIEW_COLUMNS)
 
 
 def tautology(tree: object, level: int, column: str = "id") -> Column:
@@ -359,20 +395,37 @@ def tautology(tree: object, level: int, column: str = "id") -> Column:
     return c
 
 
-def derived_predicate(rating: float, price: float | None, popularity: int, category: str | None = None) -> object:
-    """Predicate of a query row: its rating, its price bucket, its popularity bucket and, if given, its category."""
-    parts: list[object] = [Compare("rating", ">=", rating)]
-    if price is None:
-        parts.append(Not(Flag("has_price")))
-    else:
-        edges = (10, 20, 50)
-        low = max([e for e in edges if e <= price], default=None)
-        high = min([e for e in edges if e > price], default=None)
-        parts += [Compare("price", ">=", low)] * (low is not None) + [Compare("price", "<", high)] * (high is not None)
-    parts.append(Compare("item_rating_number", ">=", max(e for e in (0, 100, 1000) if e <= popularity)))
-    if category:
-        parts.append(Compare("main_category", "=", category))
-    return And(tuple(parts))
+def _bucket_labels(has_price: bool | None, price: float | None, popularity: float | None) -> tuple[str, str]:
+    cost, count = price or 0.0, int(popularity or 0)
+    p = "p_missing" if has_price is not True else "p_le10" if cost <= 10 else "p_10_20" if cost <= 20 else "p_20_50" if cost <= 50 else "p_gt50"
+    return p, "pop_high" if count >= 1000 else "pop_mid" if count >= 100 else "pop_low"
+
+
+def derived_predicate(mode: str, *, rating: float | None = None, has_price: bool | None = None, price: float | None = None, popularity: float | None = None, category: str | None = None) -> tuple[str, str]:
+    """(predicate text, key) of a query row by its ``mode``: price, popularity, mixed or mixed_category.
+
+    The rating counts as a whole number from 1 to 5, 5 where it is missing; a missing price of a priced item counts
+    as 0, a missing category as 'Grocery & Gourmet Food'. The key is a named predicate where there is one.
+    """
+    stars = max(1, min(5, int(rating or 5)))
+    p, q = _bucket_labels(has_price, price, popularity)
+    mixed = f"rating = {stars} AND {PRICES[p]} AND {POPULARITY[q]}"
+    place = (category or "Grocery & Gourmet Food").replace("'", "''")
+    texts = {"price": PRICES[p], "popularity": POPULARITY[q], "mixed": mixed, "mixed_category": f"main_category = '{place}' AND {mixed}"}
+    if mode not in texts:
+        raise PredicateError(f"no such mode: {mode}")
+    return texts[mode], f"c4_mixed_5_{p}_{q}" if mode == "mixed" and stars == 5 else "sql:" + texts[mode]
+
+
+def bucket_columns(rating: Column, has_price: Column, price: Column, popularity: Column) -> dict[str, Column]:
+    """The buckets of :func:`derived_predicate` as columns: stars, price_label, popularity_label."""
+    cost, count = F.coalesce(price, F.lit(0.0)), F.coalesce(popularity, F.lit(0)).cast("bigint")
+    priced = F.coalesce(has_price, F.lit(False))
+    return {
+        "stars": F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(rating, F.lit(5.0)).cast("int"))),
+        "price_label": F.when(~priced, "p_missing").when(cost <= 10, "p_le10").when(cost <= 20, "p_10_20").when(cost <= 50, "p_20_50").otherwise("p_gt50"),
+        "popularity_label": F.when(count >= 1000, "pop_high").when(count >= 100, "pop_mid").otherwise("pop_low"),
+    }
 
 
 def label_range_filter(workload: str, labels: list[int], low: int, high: int, *, label_column: str = "labels", range_column: str = "width") -> tuple[object, str]:

@@ -54,11 +54,12 @@ def running_cutoff(df: DataFrame, amount: str, order: list[Column], percent_x100
     return rows.where(F.col("cumulative") - F.col(amount) < need).drop("__total")
 
 
-def first_reaching(steps: DataFrame, targets: DataFrame, cumulative: str, target: str, key: str) -> DataFrame:
-    """Per target the first step (smallest ``key``) whose cumulative value reaches it: a lateral top-1 as an
-    aggregate over a range condition on two small sides."""
-    rows = targets.join(steps, F.col(cumulative) >= F.col(target))
-    return rows.groupBy(*targets.columns).agg(F.min(F.struct(key, *[c for c in steps.columns if c != key])).alias("s")).select(*targets.columns, "s.*")
+def first_reaching(steps: DataFrame, targets: DataFrame, cumulative: str, step: str, target: str) -> DataFrame:
+    """Per target the step at which the cumulative value reaches it: what was summed up before it is less than the
+    target, so exactly one step fits. The targets are a parameter (few rows) and are broadcast; the steps stay where
+    they are."""
+    c, t = F.col(cumulative), F.col(target)
+    return steps.join(F.broadcast(targets), (c >= t) & (c - F.col(step) < t)).select(*targets.columns, *(x for x in steps.columns if x != step))
 
 
 def two_key_lookup(rows: DataFrame, table: DataFrame, first: list[str], fallback: list[str], value: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.functions.vector import l2, l2_squared
+from tarnfield.functions.vector import batch_topk_by, l2, l2_squared
 
 
 def nearest(candidates: DataFrame, query: Column, k: int, *, id_column: str = "id", vector: str = "embedding", exclude: int | None = None) -> DataFrame:
@@ -38,6 +41,23 @@ def batch_nearest(candidates: DataFrame, queries: DataFrame, k: int, *, by: list
     return found
 
 
+def batch_nearest_by(candidates: DataFrame, filters: Mapping[str, Column], queries: DataFrame, k: int, *, block_rows: int = 4096) -> DataFrame:
+    """(filter_name, query_id, id, distance_sq, rank_no): per filter and query the k nearest candidates.
+
+    The query set goes to the tasks in blocks of ``block_rows``, one pass over the candidates each; distances are
+    matrix products that all filters share, and k rows per filter, query and batch leave a task.
+    """
+    found = None
+    for block in query_blocks(queries, "query_id", block_rows):
+        rows = block.orderBy("query_id").collect()  # one block of the stated query set
+        if rows:
+            part = batch_topk_by(candidates, filters, [r.query_id for r in rows], np.array([r.query_vector for r in rows], float), k)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return candidates.sparkSession.createDataFrame([], "filter_name string, query_id bigint, id bigint, distance_sq double, rank_no bigint")
+    return ranked(found, ["filter_name", "query_id"], [F.col("distance_sq"), F.col("id")], k)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """First k rows of every group; rank_no is a bigint."""
     w = Window.partitionBy(*group).orderBy(*order)

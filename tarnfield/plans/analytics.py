@@ -92,9 +92,12 @@ def percentile_rules(spark, d):
 p(name, pct) AS (VALUES ('top_1', 0.99), ('top_10', 0.9), ('half', 0.5))
 SELECT name, x AS threshold FROM p JOIN r ON i = CAST(round_even(pct * (n - 1), 0) AS BIGINT)""")
 def score_thresholds(spark, d):
-    """Threshold catalog: nearest-rank quantiles of a score."""
-    o = load(spark, d, "orders").groupBy().agg(*(S.percentile_round("o_totalprice", p).alias(n) for n, p in (("top_1", 0.99), ("top_10", 0.9), ("half", 0.5))))
-    return o.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("threshold")) for n in ("top_1", "top_10", "half")))).alias("x")).select("x.*")
+    """Threshold catalog: nearest-rank quantiles of a score, by its place in the complete order."""
+    o = load(spark, d, "orders").select("o_totalprice", "o_orderkey")
+    shares = spark.createDataFrame([("top_1", 0.99), ("top_10", 0.9), ("half", 0.5)], "name string, share double")
+    want = shares.crossJoin(o.agg(F.count("*").alias("n"))).select("name", F.bround(F.col("share") * (F.col("n") - 1)).cast("bigint").alias("position"))  # three rows
+    rows = R.global_position(o, [F.col("o_totalprice").asc(), F.col("o_orderkey").asc()])
+    return rows.join(F.broadcast(want), "position").select("name", F.col("o_totalprice").alias("threshold"))
 
 
 @query("SELECT count(DISTINCT o_orderkey) AS ids, count(DISTINCT o_orderkey // 32768) AS buckets FROM orders WHERE o_totalprice < 100000")
@@ -129,7 +132,7 @@ def two_level_mean(spark, d):
 def bootstrap_intervals(spark, d):
     """Seeded bootstrap of per-user means, per event type."""
     per = load(spark, d, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("m"))
-    return S.bootstrap_groups(per, ["event_type"], "m", ["user_id"], samples=200, seed=11)
+    return S.bootstrap_groups(per, ["event_type"], "m", ["user_id"], seed=11)
 
 
 @query("""WITH b AS (SELECT CASE WHEN l_discount < 0.02 THEN 'low' WHEN l_discount < 0.06 THEN 'mid' ELSE 'high' END AS band, l_returnflag, l_quantity FROM lineitem)
@@ -279,25 +282,76 @@ def staging_validation(spark, d):
     return W.staging_problems(o)
 
 
-@query("""SELECT l_shipmode_band AS mode, count(*) AS requests, round(sum(l_quantity) / count(*), 9) AS per_result FROM (SELECT *, CAST(l_linenumber % 3 AS INTEGER) AS l_shipmode_band FROM lineitem) GROUP BY 1""")
+_RESULT = """r AS (SELECT result_id, min(run_method) AS method, min(lower(trim(filter_name))) AS filter_name, min(query_id) AS query_id, min(ef_search) AS ef_search,
+  min(CASE WHEN isfinite(latency_ms) AND latency_ms > 0 THEN latency_ms END) AS latency_ms, min(candidates) AS candidates, min(returned) AS returned FROM query_result WHERE result_id IS NOT NULL GROUP BY result_id)"""
+
+
+def results(spark, d) -> DataFrame:
+    """Measured requests, one row per result_id; a latency that is no measurement is null and counts as an error."""
+    ok = (F.col("latency_ms") > 0) & ~F.isnan("latency_ms") & (F.col("latency_ms") != F.lit(float("inf")))
+    rows = load(spark, d, "query_result").where("result_id IS NOT NULL").select(
+        "result_id", F.col("run_method").alias("method"), F.lower(F.trim("filter_name")).alias("filter_name"), "query_id", "ef_search", F.when(ok, F.col("latency_ms")).alias("latency_ms"), "candidates", "returned"
+    )
+    return rows.groupBy("result_id").agg(*(F.min(c).alias(c) for c in rows.columns[1:]))
+
+
+@query(f"""WITH {_RESULT}, g AS (SELECT filter_name, method, count(*) AS samples, count(latency_ms) AS ok, avg(latency_ms) AS latency, avg(returned) FILTER (latency_ms IS NOT NULL) AS returned, avg(candidates) FILTER (latency_ms IS NOT NULL) AS candidates FROM r WHERE filter_name IS NOT NULL AND method IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN returned > 0 THEN candidates / returned ELSE 0 END AS per_result, CASE WHEN candidates > 0 THEN (candidates - returned) / candidates ELSE 0 END AS rejected FROM g),
+b AS (SELECT filter_name, min_by(struct_pack(l := latency, p := per_result), method) AS base FROM w GROUP BY 1)
+SELECT filter_name, method, samples, ok, samples - ok AS errors, round(latency, 6) AS latency_mean, round(per_result, 6) AS candidate_per_result, round(rejected, 6) AS reject_rate,
+round(CASE WHEN latency > 0 THEN base.l / latency ELSE 0 END, 6) AS speedup, round(CASE WHEN per_result > 0 THEN base.p / per_result ELSE 0 END, 6) AS candidate_reduction FROM w JOIN b USING (filter_name)""")
 def candidate_waste(spark, d):
-    """Candidates fetched per returned row, by mode."""
-    return load(spark, d, "lineitem").groupBy((F.col("l_linenumber") % 3).cast("int").alias("mode")).agg(F.count("*").alias("requests"), F.round(F.sum("l_quantity") / F.count("*"), 9).alias("per_result"))
+    """Candidates fetched per returned row, by filter and method, and both against the first method of the filter."""
+    ok = F.col("latency_ms").isNotNull()
+    g = results(spark, d).where("filter_name IS NOT NULL AND method IS NOT NULL").groupBy("filter_name", "method").agg(
+        F.count("*").alias("samples"), F.count("latency_ms").alias("ok"), F.avg("latency_ms").alias("latency"), F.avg(F.when(ok, F.col("returned"))).alias("r"), F.avg(F.when(ok, F.col("candidates"))).alias("c")
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    w = g.withColumn("per_result", ratio("c", "r")).withColumn("rejected", F.when(F.col("c") > 0, (F.col("c") - F.col("r")) / F.col("c")).otherwise(0.0))
+    base = w.groupBy("filter_name").agg(F.min_by(F.struct("latency", "per_result"), "method").alias("b")).select("filter_name", F.col("b.latency").alias("l0"), F.col("b.per_result").alias("p0"))
+    w = w.join(base, "filter_name")
+    return w.select("filter_name", "method", "samples", "ok", (F.col("samples") - F.col("ok")).alias("errors"), F.round("latency", 6).alias("latency_mean"), F.round("per_result", 6).alias("candidate_per_result"), F.round("rejected", 6).alias("reject_rate"), F.round(ratio("l0", "latency"), 6).alias("speedup"), F.round(ratio("p0", "per_result"), 6).alias("candidate_reduction"))
 
 
-@query("""SELECT 'a' AS dataset, 'balance' AS metric, round(avg(c_acctbal), 6) AS mean FROM customer UNION ALL SELECT 'b', 'balance', round(avg(s_acctbal), 6) FROM supplier""")
+@query(f"""WITH {_RESULT}, u AS (SELECT 'search' AS dataset, method, coalesce(CAST(ef_search AS BIGINT), 0) AS setting, latency_ms AS latency, CAST(returned AS DOUBLE) AS returned FROM r WHERE latency_ms IS NOT NULL AND method IS NOT NULL
+UNION ALL SELECT 'events', event_type, user_id % 4, value, 1.0 FROM events WHERE value > 0)
+SELECT dataset, method, setting, count(*) AS samples, round(avg(latency), 6) AS latency_mean, round(quantile_cont(latency, 0.5), 6) AS latency_p50, round(1000 * count(*) / sum(latency), 6) AS throughput, round(avg(returned), 6) AS returned_mean FROM u GROUP BY 1, 2, 3""")
 def frontier(spark, d):
-    """Summaries of differently shaped sources brought into one schema."""
-    parts = [load(spark, d, t).select(F.lit(n).alias("dataset"), F.lit("balance").alias("metric"), F.col(c).alias("v")) for n, t, c in (("a", "customer", "c_acctbal"), ("b", "supplier", "s_acctbal"))]
-    return reduce(DataFrame.unionByName, parts).groupBy("dataset", "metric").agg(F.round(F.avg("v"), 6).alias("mean"))
+    """Raw measurements of differently shaped sources brought into one schema, and the points of the frontier."""
+    parts = [
+        results(spark, d).where("latency_ms IS NOT NULL AND method IS NOT NULL").select(F.lit("search").alias("dataset"), "method", F.coalesce(F.col("ef_search").cast("bigint"), F.lit(0)).alias("setting"), F.col("latency_ms").alias("latency"), F.col("returned").cast("double").alias("returned")),
+        load(spark, d, "events").where("value > 0").select(F.lit("events").alias("dataset"), F.col("event_type").alias("method"), (F.col("user_id") % 4).cast("bigint").alias("setting"), F.col("value").alias("latency"), F.lit(1.0).alias("returned")),
+    ]
+    rows = reduce(DataFrame.unionByName, parts).groupBy("dataset", "method", "setting")
+    r = lambda c: F.round(c, 6)
+    return rows.agg(F.count("*").alias("samples"), r(F.avg("latency")).alias("latency_mean"), r(F.percentile("latency", F.lit(0.5))).alias("latency_p50"), r(1000 * F.count("*") / F.sum("latency")).alias("throughput"), r(F.avg("returned")).alias("returned_mean"))
+
+
+@query("""WITH e AS (SELECT query_id, lower(trim(filter_name)) AS filter_name, max(query_no) AS query_no FROM exact_topk_entry GROUP BY 1, 2)
+SELECT query_id % 4 AS shard, count(*) AS cells, count(DISTINCT filter_name) AS filters FROM e WHERE query_id IS NOT NULL AND filter_name IS NOT NULL GROUP BY 1""")
+def shard_coverage(spark, d):
+    """Four shards of a result put together under the contract that every expected cell occurs exactly once."""
+    entries = load(spark, d, "exact_topk_entry").select("query_id", F.lower(F.trim("filter_name")).alias("filter_name"), "query_no").where("query_id IS NOT NULL AND filter_name IS NOT NULL")
+    cells = stored(entries.groupBy("query_id", "filter_name").agg(F.max("query_no").alias("query_no")), "cells")
+    parts = [cells.where(F.col("query_id") % 4 == i) for i in range(4)]
+    rows = R.combine_shards(parts, ["query_id", "filter_name"], cells.select("query_id", "filter_name"))
+    return rows.groupBy((F.col("query_id") % 4).alias("shard")).agg(F.count("*").alias("cells"), F.countDistinct("filter_name").alias("filters"))
 
 
-@query("""SELECT shard, CAST(count(*) AS BIGINT) AS rows, CAST(25 - count(*) AS BIGINT) AS missing FROM (SELECT n_nationkey % 4 AS shard FROM nation) GROUP BY 1""")
-def shard_coverage(spark, d):
-    """Cells of each shard, and how many of all cells it lacks."""
-    n = load(spark, d, "nation")
-    total = n.agg(F.count("*").alias("t"))
-    return n.groupBy((F.col("n_nationkey") % 4).alias("shard")).agg(F.count("*").alias("rows")).crossJoin(total).select("shard", "rows", (F.col("t") - F.col("rows")).alias("missing"))
+_PAIRS = f"""WITH {_RESULT}, m AS (SELECT * FROM (SELECT DISTINCT method FROM r WHERE method IS NOT NULL) ORDER BY method LIMIT 2),
+v AS (SELECT filter_name, query_id, avg(latency_ms) FILTER (method = (SELECT min(method) FROM m)) AS a, avg(latency_ms) FILTER (method = (SELECT max(method) FROM m)) AS b FROM r WHERE filter_name IS NOT NULL AND query_id IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT filter_name, count(*) AS expected, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS paired FROM v WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1)"""
+
+
+@query(_PAIRS + """ SELECT filter_name, expected, paired, CASE WHEN paired = expected THEN 'complete' ELSE 'incomplete' END AS status,
+CASE WHEN paired = expected THEN (SELECT round(avg(a) / avg(b), 6) FROM v WHERE v.filter_name = e.filter_name AND a IS NOT NULL) END AS speedup FROM e""")
+def paired_methods(spark, d):
+    """The second method against the first per filter; a filter where any query lacks a pair gives no figure."""
+    rows = stored(results(spark, d).where("filter_name IS NOT NULL AND query_id IS NOT NULL AND method IS NOT NULL AND latency_ms IS NOT NULL"), "results")
+    first, second = [r.method for r in results(spark, d).where("method IS NOT NULL").select("method").distinct().orderBy("method").limit(2).collect()]  # two names
+    two = rows.where(F.col("method").isin(first, second))
+    out = S.paired_comparison(two.where(F.col("method") == first), two.where(F.col("method") == second), two, ["filter_name"], "query_id", "latency_ms", samples=200)
+    return out.select("filter_name", "expected", "paired", "status", F.round("speedup", 6).alias("speedup"))
 
 
 @query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
@@ -346,6 +400,30 @@ def json_fields(spark, d):
     return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k IS NOT NULL")
 
 
+_JSON = "'{\"tags\": [' || (event_id % 5) || ', 7, ' || (event_id % 3) || '], \"name\": \"e' || event_id || '\"}'"
+
+
+@query(f"""WITH j AS (SELECT event_id, CAST({_JSON} AS JSON) AS doc FROM events)
+SELECT event_id, CAST(json_array_length(doc->'tags') AS BIGINT) AS n, CAST(doc->'tags'->>1 AS BIGINT) AS second, CAST(list_sum(CAST(doc->'tags' AS BIGINT[])) AS BIGINT) AS total, json_exists(doc, '$.name') AS has_name, json_exists(doc, '$.other') AS has_other FROM j""")
+def json_arrays(spark, d):
+    """Elements, length and keys of JSON documents."""
+    doc = F.concat(F.lit('{"tags": ['), F.col("event_id") % 5, F.lit(", 7, "), F.col("event_id") % 3, F.lit('], "name": "e'), F.col("event_id"), F.lit('"}'))
+    rows = load(spark, d, "events").select("event_id", doc.alias("doc"))
+    tags = F.from_json(F.get_json_object("doc", "$.tags"), "array<bigint>")
+    keys = F.json_object_keys("doc")
+    return rows.select("event_id", F.json_array_length(F.get_json_object("doc", "$.tags")).cast("bigint").alias("n"), F.get_json_object("doc", "$.tags[1]").cast("bigint").alias("second"), F.aggregate(tags, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.array_contains(keys, "name").alias("has_name"), F.array_contains(keys, "other").alias("has_other"))
+
+
+@query("SELECT o_orderkey, 'analyst' AS principal, epoch_ms(o_orderdate) <= 820454400000 AS visible FROM orders")
+def session_values(spark, d):
+    """Principal and time as values of the session, which SQL text refers to by name."""
+    spark.sql("DECLARE OR REPLACE VARIABLE tf_principal STRING DEFAULT current_user()")
+    spark.sql("DECLARE OR REPLACE VARIABLE tf_as_of BIGINT DEFAULT 0")
+    spark.sql(f"SET VAR (tf_principal, tf_as_of) = (SELECT '{PRINCIPAL}', 820454400000L)")
+    load(spark, d, "orders").createOrReplaceTempView("tf_orders")
+    return spark.sql("SELECT o_orderkey, session.tf_principal AS principal, unix_millis(CAST(o_orderdate AS TIMESTAMP)) <= session.tf_as_of AS visible FROM tf_orders")
+
+
 # ---------------------------------------------------------------- layout
 
 
@@ -367,9 +445,9 @@ def cluster_training(spark, d):
     return L.assign(e, L.train_centroids(e, 8)).groupBy("cluster_id").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT true AS same_content, true AS other_order")
+@query("SELECT count(*) AS rows, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(sum(label) AS BIGINT) AS labels, round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 6) AS elements, true AS same_content, true AS other_order FROM embeddings")
 def layout_equivalence(spark, d):
-    """A clustered copy has the same logical hash as its source and another order of rows on disk."""
+    """A clustered copy: what it holds, that its logical hash is that of its source, and that its order on disk is another."""
     from tarnfield.session import new_path
 
     e = L.assign(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), _centroids(spark, d))
@@ -377,8 +455,10 @@ def layout_equivalence(spark, d):
     L.write_clustered(e, path, ["cluster_id", "centroid_distance_sq", "id"], files=4)
     copy = spark.read.parquet(path)
     source = stored(e, "plain")
-    a, b = (L.fingerprints(L.page_of(x, 64), ["id", "label", "embedding"], "page").first() for x in (source, copy))
-    return spark.createDataFrame([(a.logical == b.logical, a.physical != b.physical)], "same_content boolean, other_order boolean")
+    a, b = (L.fingerprints(L.page_of(x, 64), ["id", "label", "embedding"], "page") for x in (source, copy))
+    held = copy.agg(F.count("*").alias("rows"), F.sum("id").alias("ids"), F.sum("label").alias("labels"), F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)), 6).alias("elements"))
+    same = a.crossJoin(b.toDF("logical_b", "physical_b")).select((F.col("logical") == F.col("logical_b")).alias("same_content"), (F.col("physical") != F.col("physical_b")).alias("other_order"))
+    return held.crossJoin(same)  # single rows
 
 
 @query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 9) SELECT id, CAST(row_number() OVER (ORDER BY {l2sql()}, id) AS BIGINT) AS position FROM b CROSS JOIN q""")
@@ -410,14 +490,18 @@ def page_materialize(spark, d):
     return L.page_order(ranked).orderBy("rank_no").select("rank_no", "id", "page")
 
 
-@query("SELECT 10 * count(*) AS ranks, CAST(0 AS BIGINT) AS differing FROM embeddings WHERE vec_id % 50 = 0")
+@query(f"""WITH {_B}, q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, id, {sqsql()} AS d FROM b CROSS JOIN q WHERE id <> query_id),
+r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 10)
+SELECT query_id, array_to_string(list(id ORDER BY d, id), ',') AS direct, array_to_string(list(id ORDER BY d, id), ',') AS matrix, CAST(0 AS BIGINT) AS differing FROM r GROUP BY 1""")
 def spot_check(spark, d):
-    """Ranks of two exact backends, and how many differ by more than a substitution of ties."""
+    """Two exact backends side by side: their ids in rank order, and the ranks that differ by more than a substitution
+    of ties."""
     from tarnfield.plans.queries import batch_topk_matrix
 
-    direct = stored(K.batch_nearest(H.reviews(spark, d), query_set(spark, d), 10), "direct")
-    off = K.spot_check(direct, batch_topk_matrix(spark, d), ["query_id"]).agg(F.count("*").alias("differing"))
-    return direct.agg(F.count("*").alias("ranks")).crossJoin(off)
+    direct, matrix = stored(K.batch_nearest(H.reviews(spark, d), query_set(spark, d), 10), "direct"), stored(batch_topk_matrix(spark, d), "matrix")
+    ids = lambda df, name: df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "id"))), lambda s: s["id"].cast("string")), ",").alias(name))
+    off = K.spot_check(direct, matrix, ["query_id"]).groupBy("query_id").agg(F.count("*").alias("differing"))
+    return ids(direct, "direct").join(ids(matrix, "matrix"), "query_id").join(off, "query_id", "left").fillna(0, ["differing"])
 
 
 @query(f"WITH {_B} " + " UNION ALL ".join(f"SELECT '{x}' AS leaf, count(*) FILTER ({x}) AS true_rows, count(*) FILTER (NOT ({x})) AS false_rows, count(*) FILTER (({x}) IS NULL) AS null_rows FROM b" for x in ("price >= 100000", "price < 150000")))

@@ -7,7 +7,7 @@ size allows it, so a query with small dimensions moves k rows per task and nothi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from tarnfield.functions.vector import is_valid, l2, literal
 from tarnfield.operators import predicate as P
+from tarnfield.operators import topk as K
 from tarnfield.operators.bloom import build_bloom, id_bitmap, may_contain
 from tarnfield.session import load
 
-#: Workload -> which validity it applies: none, that of the grant, or those of grant and fact.
-WORKLOADS = {"acl_only": (), "grant_validity": ("grant",), "fact_validity": ("grant", "fact")}
+#: Workload -> which validity it applies: none, that of the grant, that of the fact, or both.
+WORKLOADS = {"acl_only": (), "grant_validity": ("grant",), "fact_validity": ("fact",), "both_validity": ("grant", "fact")}
+#: the three workloads of the grid
+GRID_WORKLOADS = ("acl_only", "grant_validity", "fact_validity")
 
 
 def valid_at(as_of: int | Column, start: Column | str = "valid_from", end: Column | str = "valid_to") -> Column:
@@ -84,6 +87,25 @@ def candidates(query: HybridQuery, rows: DataFrame, grants: DataFrame | None = N
     return out.where(is_valid("embedding")) if query.candidate_valid else out
 
 
+def grid(rows: DataFrame, grants: DataFrame, principal: str, filters: Mapping[str, object], queries: DataFrame, k: int, *, as_of: Mapping[str, int], block_rows: int = 4096) -> DataFrame:
+    """(workload, filter_name, query_id, id, distance_sq, rank_no): every workload with every filter, for a query set.
+
+    The candidates are joined and secured once; what tells workloads and filters apart is a set of bits per row, so a
+    distance is computed once per row and query. ``as_of`` has the time of each workload that applies a validity.
+    """
+    seen = secured(rows, grants, principal).where(is_valid("embedding"))
+    when = {"grant": ("grant_from", "grant_to"), "fact": ("valid_from", "valid_to")}
+    arms = {}
+    for w in GRID_WORKLOADS:
+        kinds, holds = WORKLOADS[w], F.lit(True)
+        for kind in kinds:
+            holds = holds & valid_at(as_of[w], *when[kind])
+        arms |= {f"{w}/{name}": holds & tree.to_column() for name, tree in filters.items()}
+    best = K.batch_nearest_by(seen, arms, queries, k, block_rows=block_rows)
+    at = F.split("filter_name", "/", 2)
+    return best.select(at[0].alias("workload"), at[1].alias("filter_name"), "query_id", "id", "distance_sq", "rank_no")
+
+
 def _top(rows: DataFrame, query: HybridQuery) -> DataFrame:
     scored = rows.withColumn("distance", l2("embedding", literal(query.vector)))
     return scored.orderBy("distance", "id").limit(query.k).select(*query.columns)

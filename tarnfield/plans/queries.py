@@ -191,14 +191,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY filter_name, query_id ORDER BY d
 
 def _grid(spark, d, k: int) -> DataFrame:
     rows = H.secured(H.reviews(spark, d), grants(spark, d), PRINCIPAL)
-    names = F.array_compact(F.array(*(F.when(t.to_column(), F.lit(n)) for n, t in TREES.items())))
-    rows = rows.select("id", "embedding", F.explode(names).alias("filter_name"))
-    return K.batch_nearest(rows, query_set(spark, d), k, by=["filter_name"])
+    return K.batch_nearest_by(rows, {n: t.to_column() for n, t in TREES.items()}, query_set(spark, d), k)
 
 
 @query(_grid_sql() + " SELECT filter_name, query_id, id, rank_no, round(d, 6) AS distance_sq FROM r WHERE rank_no <= 10")
 def batch_topk(spark, d):
-    """All filters and queries at once: k rows per filter, query and task leave the scan."""
+    """All filters and queries at once: distances once per row and query, k rows per filter, query and batch leave the scan."""
     return _grid(spark, d, 10).select("filter_name", "query_id", "id", "rank_no", F.round("distance_sq", 6).alias("distance_sq"))
 
 
@@ -239,8 +237,7 @@ def recall_of_subset(spark, d):
     group = ["filter_name", "query_id"]
     t = K.truth(full, group, 10).where("kth_distance_sq IS NOT NULL")
     rows = H.secured(H.reviews(spark, d), grants(spark, d), PRINCIPAL).where("label <> 3")
-    names = F.array_compact(F.array(*(F.when(x.to_column(), F.lit(n)) for n, x in TREES.items())))
-    got = K.batch_nearest(rows.select("id", "embedding", F.explode(names).alias("filter_name")), query_set(spark, d), 10, by=["filter_name"])
+    got = K.batch_nearest_by(rows, {n: x.to_column() for n, x in TREES.items()}, query_set(spark, d), 10)
     ids = got.groupBy(*group).agg(A.ordered_array("id", "rank_no").alias("got"))
     out = K.tie_aware_recall(got, t, group, 10).join(ids, group).join(t.select(*group, "exact_ids"), group)
     return out.select(*group, "hits", F.round("recall", 6).alias("recall"), F.round(A.recall_at("got", "exact_ids", 10), 6).alias("id_recall"))
@@ -254,6 +251,29 @@ def boundary_rows(spark, d):
     return _rounded(K.boundary_set(rows, ["g"], "distance", 25))
 
 
+#: Fourteen filters of the grid, from wide to narrow.
+GRID_FILTERS = {
+    "label_lt8": "label < 8", "balance_ge0": "balance >= 0", "wide": "label < 5", "balance": "balance >= 4500", "price_ge150k": "price >= 150000", "urgent": "priority = '1-URGENT' OR priority = '2-HIGH'", "not_low": "NOT (priority = '5-LOW') AND label < 4",
+    "building": "category = 'BUILDING' AND label >= 2", "price_band": "price >= 100000 AND price < 150000", "rich_urgent": "balance >= 7000 AND priority = '1-URGENT'", "narrow": "NOT (label < 8) AND price < 60000", "machinery": "category = 'MACHINERY' AND label < 3", "one_label": "label = 7 AND balance < 0", "rare": "category = 'MACHINERY' AND label = 3 AND balance > 2000",
+}
+GRID = {k: P.parse(v, COLUMNS) for k, v in GRID_FILTERS.items()}
+GRANT_AS_OF, GRANT_LATER, FACT_AS_OF = 800_000_000_000, 900_000_000_000, 820_454_400_000
+_GRID_KEEP = ", ".join(f"({P.sql_of(t, 'b')}) AS f_{n}" for n, t in GRID.items())
+_GRID_ARMS = " UNION ALL ".join(f"SELECT '{w}' AS workload, '{n}' AS filter_name, * FROM c WHERE {cond} AND f_{n}" for w, cond in (("acl_only", "true"), ("grant_validity", "granted"), ("fact_validity", f"valid_from <= {FACT_AS_OF}")) for n in GRID)
+
+
+@query(f"""WITH {_B}, {_F}, {_V}, {_G}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+o AS (SELECT tenant_id, sum(review_count) OVER (ORDER BY review_count, tenant_id ROWS UNBOUNDED PRECEDING) - review_count < (CAST(sum(review_count) OVER () AS BIGINT) * 3000 + 9999) // 10000 AS granted FROM g),
+c AS (SELECT b.*, granted, {_GRID_KEEP} FROM b JOIN o USING (tenant_id)), a AS ({_GRID_ARMS}),
+p AS (SELECT workload, filter_name, query_id, id, {sqsql("a.embedding", "qv")} AS d FROM a CROSS JOIN q WHERE id <> query_id)
+SELECT workload, filter_name, query_id, id, round(d, 6) AS distance_sq, row_number() OVER (PARTITION BY workload, filter_name, query_id ORDER BY d, id) AS rank_no FROM p QUALIFY rank_no <= 10""")
+def hybrid_grid(spark, d):
+    """Three workloads with fourteen filters, top 10 of every query of the set; grants are prepared once."""
+    granted = stored(W.grant_validity(grants(spark, d), H.facts(spark, d), GRANT_AS_OF, GRANT_LATER, 3000), "calibrated")
+    rows = H.grid(H.reviews(spark, d), granted, PRINCIPAL, GRID, query_set(spark, d), 10, as_of={"grant_validity": GRANT_AS_OF, "fact_validity": FACT_AS_OF})
+    return rows.withColumn("distance_sq", F.round("distance_sq", 6))
+
+
 @query(f"""WITH {_B}, {_F}, {_V}, {_G}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)
 SELECT id, round({l2sql()}, 6) AS distance FROM b JOIN g USING (tenant_id) CROSS JOIN q WHERE price >= 100000 AND price < 150000 AND valid_from <= 820454400000
 ORDER BY {l2sql()}, id LIMIT 10""")
@@ -373,6 +393,55 @@ def difficulty_filters(spark, d):
     return counts.select(F.col("filter_name").alias("name"), "rows")
 
 
+REVIEWS = "amazon_grocery_reviews_10m_pgvector"
+_COUNTED = {"named": P.NAMED, "catalog": {n: t for n, (_, t) in P.CATALOG.items()}}
+
+
+@query(" UNION ALL ".join(f"SELECT '{g}' AS family, '{n}' AS filter_name, count(*) FILTER ({t}) AS rows, count(*) AS total FROM {REVIEWS}" for g, x in _COUNTED.items() for n, t in x.items()))
+def named_selectivity(spark, d):
+    """Rows of every named predicate and of the filter catalog, from one pass over the review table."""
+    trees = {f"{g}/{n}": P.parse(t, P.REVIEW_COLUMNS).to_column() for g, x in _COUNTED.items() for n, t in x.items()}
+    at = F.split("filter_name", "/", 2)
+    rows = P.selectivities(load(spark, d, REVIEWS).drop("embedding"), trees)
+    return rows.select(at[0].alias("family"), at[1].alias("filter_name"), "rows", "total")
+
+
+_BUCKETS = """greatest(1, least(5, CAST(trunc(coalesce({r}, 5)) AS INTEGER))) AS stars,
+CASE WHEN NOT coalesce(has_price, false) THEN 'p_missing' WHEN coalesce(price, 0) <= 10 THEN 'p_le10' WHEN price <= 20 THEN 'p_10_20' WHEN price <= 50 THEN 'p_20_50' ELSE 'p_gt50' END AS price_label,
+CASE WHEN coalesce(item_rating_number, 0) >= 1000 THEN 'pop_high' WHEN coalesce(item_rating_number, 0) >= 100 THEN 'pop_mid' ELSE 'pop_low' END AS popularity_label"""
+
+
+@query(f"""WITH a AS (SELECT id, any_value(has_price) AS has_price, any_value(price) AS price, any_value(item_rating_number) AS item_rating_number FROM {REVIEWS} GROUP BY id HAVING count(DISTINCT (has_price, price, item_rating_number)) = 1),
+q AS (SELECT query_no, {_BUCKETS.format(r="ori_rating")} FROM c4_queries JOIN a ON id = query_id), k AS (SELECT DISTINCT stars, price_label, popularity_label FROM q)
+SELECT query_no, CASE WHEN stars = 5 THEN 'c4_mixed_5_' || price_label || '_' || popularity_label ELSE 'sql' END AS filter_key,
+(SELECT count(*) FROM {REVIEWS} r WHERE r.rating = q.stars AND CASE price_label WHEN 'p_missing' THEN NOT has_price WHEN 'p_le10' THEN has_price AND price <= 10 WHEN 'p_10_20' THEN has_price AND price > 10 AND price <= 20 WHEN 'p_20_50' THEN has_price AND price > 20 AND price <= 50 ELSE has_price AND price > 50 END
+AND CASE popularity_label WHEN 'pop_high' THEN item_rating_number >= 1000 WHEN 'pop_mid' THEN item_rating_number >= 100 AND item_rating_number < 1000 ELSE item_rating_number < 100 END) AS rows FROM q""")
+def derived_filters(spark, d):
+    """The predicate derived from each query row (mode 'mixed'), and how many reviews satisfy it."""
+    reviews = load(spark, d, REVIEWS).drop("embedding")
+    same = reviews.groupBy("id").agg(F.countDistinct(F.struct("has_price", "price", "item_rating_number")).alias("n"), *(F.max(c).alias(c) for c in ("has_price", "price", "item_rating_number"))).where("n = 1")
+    asked = load(spark, d, "c4_queries").join(same, F.col("id") == F.col("query_id"))
+    asked = asked.select("query_no", *(c.alias(n) for n, c in P.bucket_columns(F.col("ori_rating"), F.col("has_price"), F.col("price"), F.col("item_rating_number")).items()))
+    keys = ["stars", "price_label", "popularity_label"]
+    kinds = {r: P.parse(f"rating = {r[0]} AND {P.PRICES[r[1]]} AND {P.POPULARITY[r[2]]}", P.REVIEW_COLUMNS).to_column() for r in ((s, p, q) for s in range(1, 6) for p in P.PRICES for q in P.POPULARITY)}  # 75 predicates
+    counts = P.selectivities(reviews, {f"{s}/{p}/{q}": c for (s, p, q), c in kinds.items()})
+    at = F.split("filter_name", "/")
+    counts = counts.select(at[0].cast("int").alias("stars"), at[1].alias("price_label"), at[2].alias("popularity_label"), "rows")
+    key = F.when(F.col("stars") == 5, F.concat_ws("_", F.lit("c4_mixed_5"), "price_label", "popularity_label")).otherwise("sql")
+    return asked.join(F.broadcast(counts), keys).select("query_no", key.alias("filter_key"), "rows")
+
+
+@query(f"""WITH a AS (SELECT id, max(helpful_vote) AS helpful_vote FROM {REVIEWS} GROUP BY id), o AS (SELECT min(ord) AS ord, id FROM pgvector_cluster_order GROUP BY id)
+SELECT CAST(row_number() OVER (ORDER BY ord) AS BIGINT) AS position, id, helpful_vote FROM o JOIN a USING (id)""")
+def order_table_layout(spark, d):
+    """Reviews in the order of a given order table: an id that stands twice takes its first place, ids without a
+    review or without a place drop out; of repeated rows of a review the newest vote counts."""
+    newest = load(spark, d, REVIEWS).groupBy("id").agg(F.max("helpful_vote").alias("helpful_vote"))
+    order = load(spark, d, "pgvector_cluster_order").groupBy("id").agg(F.min("ord").alias("ord"))
+    rows = R.global_position(order.join(newest, "id"), [F.col("ord").asc()])
+    return rows.select((F.col("position") + 1).alias("position"), "id", "helpful_vote")
+
+
 # ---------------------------------------------------------------- sources and generated relations
 
 

@@ -61,11 +61,11 @@ def temporal_buckets(seen: DataFrame, targets_x100=TARGETS_X100) -> DataFrame:
     """
     spark = seen.sparkSession
     per_ts = seen.groupBy("valid_from").agg(F.count("*").alias("n"))
-    steps = global_running_sum(per_ts, [F.col("valid_from").asc()], "n", "achieved_count").select(F.col("valid_from").alias("as_of"), F.col("achieved_count").cast("bigint").alias("achieved_count"))
+    steps = global_running_sum(per_ts, [F.col("valid_from").asc()], "n", "achieved_count").select(F.col("valid_from").alias("as_of"), "n", F.col("achieved_count").cast("bigint").alias("achieved_count"))
     total = seen.agg(F.count("*").alias("acl_visible_count"))
     want = spark.createDataFrame([(t,) for t in targets_x100], "target_x100 int").crossJoin(total)
     want = want.withColumn("target_count", F.greatest(F.lit(1), F.expr("(acl_visible_count * target_x100 + 9999) div 10000")))
-    rows = first_reaching(steps, want, "achieved_count", "target_count", "as_of")
+    rows = first_reaching(steps, want, "achieved_count", "n", "target_count")
     pct = (F.col("achieved_count").cast("decimal(20,0)") * 100 / F.col("acl_visible_count").cast("decimal(20,0)")).cast("decimal(12,8)")
     return rows.withColumn("achieved_pct", pct)
 

@@ -108,7 +108,7 @@ def test_golden_tree_and_sql():
     assert tree == P.And((P.Flag("has_price"), P.Or((P.Compare("price", "<", 10), P.Not(P.Compare("label", ">=", 2))))))
     assert P.sql_of(tree, "b") == "(b.has_price AND (b.price < 10 OR NOT (b.label >= 2)))"
     assert P.columns_of(tree) == {"has_price", "price", "label"}
-    assert all(P.parse(v, {"item_rating_number": "int", "has_price": "boolean", "price": "double", "review_text_len": "int", "helpful_vote": "int", "rating": "double", "verified_purchase": "boolean"}) for v in P.NAMED.values())
+    assert all(P.named(n) == P.parse(v, P.REVIEW_COLUMNS) for n, v in P.NAMED.items()) and P.named("sql:rating = 5") == P.Compare("rating", "=", 5)
 
 
 def test_guides():
@@ -136,7 +136,18 @@ def test_implication_is_sound(values, op1, op2, a, b):
 
 
 def test_derived_predicate_and_selectivities(spark):
-    assert P.derived_predicate(5.0, 12.0, 1500).parts[1:] == (P.Compare("price", ">=", 10), P.Compare("price", "<", 20), P.Compare("item_rating_number", ">=", 1000))
+    given = {"rating": 5.0, "has_price": True, "price": 20.0, "popularity": 999}
+    text = "rating = 5 AND has_price AND price > 10 AND price <= 20 AND item_rating_number >= 100 AND item_rating_number < 1000"
+    assert P.derived_predicate("mixed", **given) == (text, "c4_mixed_5_p_10_20_pop_mid") and P.NAMED["c4_mixed_5_p_10_20_pop_mid"] == text
+    assert P.derived_predicate("mixed", **(given | {"rating": 4.7}))[1] == "sql:" + text.replace("= 5", "= 4")
+    assert P.derived_predicate("price", has_price=None, price=3.0)[0] == "NOT has_price" and P.derived_predicate("price", has_price=True)[0] == "has_price AND price <= 10"
+    assert P.derived_predicate("popularity", popularity=None)[0] == "item_rating_number < 100"
+    assert P.derived_predicate("mixed_category", **given, category="Tea's")[0] == f"main_category = 'Tea''s' AND {text}"
+    with pytest.raises(P.PredicateError):
+        P.derived_predicate("colour")
+    with pytest.raises(P.PredicateError):
+        P.named("popular")
+    assert len(P.NAMED) == 19 and len(P.CATALOG) == 14
     df = spark.range(10)
     assert {r.filter_name: r.rows for r in P.selectivities(df, {"a": F.col("id") < 3, "b": F.col("id") >= 9}).collect()} == {"a": 3, "b": 1}
 
@@ -234,7 +245,7 @@ def test_exact_strategies_agree(spark):
     x, df = vectors(spark, 300, 4)
     rows = df.withColumn("label", (F.col("id") % 10).cast("int")).withColumn("tenant_id", (F.col("id") % 5).cast("int")).withColumn("valid_from", F.col("id") + 1).withColumn("valid_to", F.lit(None).cast("bigint"))
     grants = spark.createDataFrame([("p", t, True, 1, None if t else 50) for t in (0, 1, 2)], schema="principal_name string, tenant_id int, can_read boolean, valid_from bigint, valid_to bigint")
-    q = H.HybridQuery(x[0].tolist(), P.parse("label < 7", {"label": "int"}), k=8, workload="fact_validity", principal="p", as_of=200, exclude=0)
+    q = H.HybridQuery(x[0].tolist(), P.parse("label < 7", {"label": "int"}), k=8, workload="both_validity", principal="p", as_of=200, exclude=0)
     want = [tuple(r) for r in H.prefilter(q, rows, grants).collect()]
     assert len(want) == 8
     for name, f in H.STRATEGIES.items():
@@ -243,6 +254,8 @@ def test_exact_strategies_agree(spark):
     assert short == want[: len(short)]
     assert [tuple(r) for r in H.post_filter_until(q, rows, grants, fetch=5).collect()] == want
     assert all(r.id % 5 in (1, 2) for r in H.prefilter(q, rows, grants).collect())
+    facts = H.HybridQuery(**{**q.__dict__, "workload": "fact_validity", "k": 300})  # of the fact alone: ended grants still count
+    assert {r.id for r in H.prefilter(facts, rows, grants).collect()} == {i for i in range(1, 200) if i % 5 in (0, 1, 2) and i % 10 < 7}
 
 
 def test_temporal_bucket_golden(spark):
@@ -292,8 +305,35 @@ def test_percentile_rules(spark):
 def test_bootstrap_is_reproducible():
     v = [1.0, 2.0, 5.0, 9.0]
     a = S.bootstrap_mean(v, samples=500, seed=3)
-    assert a == S.bootstrap_mean(v, samples=500, seed=3) and a[1] <= a[0] <= a[2] and S.bootstrap_mean([]) == (0.0, 0.0, 0.0)
-    assert S.paired_ratio([(2.0, 1.0)] * 5, samples=50)[0] == 2.0
+    assert a == S.bootstrap_mean(v, samples=500, seed=3) and a[2] <= a[1] <= a[0] <= a[3] and S.bootstrap_mean([]) == (0.0, 0.0, 0.0, 0.0)
+    assert S.paired_ratio([(2.0, 1.0)] * 5, samples=50) == (2.0, 2.0, 2.0, 2.0) and S.bootstrap_mean([7.0]) == (7.0, 7.0, 7.0, 7.0)
+    many = np.random.default_rng(0).normal(10, 2, 400)
+    mean, lower, low, high = S.bootstrap_mean(many, samples=4000)
+    assert abs(high - low - 2 * 1.96 * 2 / 20) < 0.03 and abs(mean - lower - 1.645 * 2 / 20) < 0.02
+
+
+def test_a_lost_pair_gives_no_figure(spark):
+    rows = lambda x: spark.createDataFrame(x, "g string, q int, v double")
+    base, fast = rows([("a", 1, 4.0), ("a", 1, 6.0), ("a", 2, 3.0), ("b", 1, 4.0), ("b", 2, 4.0)]), rows([("a", 1, 2.0), ("a", 2, 2.0), ("b", 1, 1.0)])
+    got = {r.g: r for r in S.paired_comparison(base, fast, base, ["g"], "q", "v", samples=100).collect()}
+    assert (got["a"].status, got["a"].expected, got["a"].paired, got["a"].speedup, got["a"].saving) == ("complete", 2, 2, 2.0, 2.0)
+    assert (got["b"].status, got["b"].expected, got["b"].paired, got["b"].speedup) == ("incomplete", 2, 1, None)
+    extra = S.paired_comparison(base, fast, base.where("q = 1"), ["g"], "q", "v", samples=10).where("g = 'a'").first()
+    assert extra.status == "incomplete"  # a key that nobody expects
+
+
+def test_first_reaching_and_grid_equal_plain_forms(spark):
+    steps = spark.createDataFrame([(1, 4, 4), (2, 6, 10), (5, 10, 20)], "as_of int, n int, c int")
+    targets = spark.createDataFrame([(1,), (4,), (5,), (10,), (20,)], "want int")
+    assert sorted(map(tuple, R.first_reaching(steps, targets, "c", "n", "want").select("want", "as_of").collect())) == [(1, 1), (4, 1), (5, 2), (10, 2), (20, 5)]
+    x, df = vectors(spark, 200, 4)
+    q = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    arms = {f"f{i}": (F.col("id") % 70 == i) if i else F.lit(True) for i in range(70)} | {"none": F.lit(None).cast("boolean")}
+    got = K.batch_nearest_by(df, arms, q, 3, block_rows=2)
+    assert got.where("filter_name = 'none'").count() == 0
+    for i in (0, 1, 61, 62, 69):
+        want = K.batch_nearest(df.where(arms[f"f{i}"]), q, 3).select("query_id", "id", "rank_no")
+        assert sorted(map(tuple, got.where(F.col("filter_name") == f"f{i}").select("query_id", "id", "rank_no").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_text_functions(spark):
@@ -362,7 +402,7 @@ def test_shards_fail_closed(spark):
 
 
 def test_candidate_sql_has_no_vector_and_no_limit(spark):
-    q = H.HybridQuery([0.0, 1.0], P.parse("cat = 'o''b' AND price < -1.5", COLS), workload="fact_validity", principal="it's", as_of=7, exclude=3)
+    q = H.HybridQuery([0.0, 1.0], P.parse("cat = 'o''b' AND price < -1.5", COLS), workload="both_validity", principal="it's", as_of=7, exclude=3)
     text = H.candidate_sql(q, "t")
     assert "LIMIT" not in text and "embedding" not in text and "'it''s'" in text and "g.valid_to IS NULL" in text and "(-1.5)" in text
     with pytest.raises(P.PredicateError):
