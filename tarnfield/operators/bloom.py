@@ -57,32 +57,48 @@ def build_bloom(df: DataFrame, column: str = "id", *, most_mb: int = 64) -> Bloo
     size = min(max(LEAST_BITS, BITS_PER_ROW * rows), most_mb << 23)
     size += -size % 8
 
+    piece = 1 << 18  # bytes of a range of the filter; ranges are merged apart from each other
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size // 8, np.uint8)
+        from pyspark import TaskContext
+
+        part, bits = TaskContext.get().partitionId(), np.zeros(size // 8, np.uint8)
         for b in batches:
             p = _places(b["id"].to_numpy(), size).ravel()
             np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["g", "bits"])
+        for s in range(0, len(bits), piece):
+            if bits[s : s + piece].any():
+                yield _ranges([(s // piece, part, bits[s : s + piece].tobytes())])
 
     def merge(t: pa.Table) -> pa.Table:
-        out = np.zeros(size // 8, np.uint8)
-        for x in t["bits"].to_pylist():
-            out |= np.frombuffer(x, np.uint8)
-        return pa.table({"bits": pa.array([out.tobytes()], pa.binary())})
-
-    partial = ids.mapInArrow(run, "g int, bits binary")
-    row = partial.groupBy("g").applyInArrow(merge, "bits binary").first()  # one filter of bounded size
-    bits = np.frombuffer(row.bits, np.uint8) if row else np.zeros(size // 8, np.uint8)
+        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
+        return pa.Table.from_batches([_ranges([(t["piece"][0].as_py(), t["part"][0].as_py(), out.tobytes())])])
+
+    schema = "piece int, part int, bits binary"
+    partial = ids.mapInArrow(run, schema)
+    # a range is merged over 64 tasks at a time, so that no task gets all partial filters of a wide input
+    partial = partial.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("piece", "part").applyInArrow(merge, schema)
+    partial = partial.withColumn("part", F.lit(0)).groupBy("piece", "part").applyInArrow(merge, schema)
+    bits = np.zeros(size // 8, np.uint8)
+    for r in partial.collect():  # each range once: a filter of at most most_mb
+        bits[r.piece * piece : r.piece * piece + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
     return Bloom(bits, size, rows)
 
 
+def _ranges(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["piece", "part", "bits"])
+
+
 def may_contain(bloom: Bloom, column: str = "id") -> Column:
-    """Column test against the filter (a bounded array that travels with the plan)."""
+    """Column test against the filter, which goes to each executor once, as a broadcast of bounded size."""
+    from pyspark.sql import SparkSession
+
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(bloom)
 
     @F.pandas_udf("boolean")
     def test(ids: pd.Series) -> pd.Series:
         known = ids.notna()
-        return pd.Series(bloom.test(ids.fillna(0).to_numpy(np.int64))) & known.reset_index(drop=True)
+        return pd.Series(shared.value.test(ids.fillna(0).to_numpy(np.int64))) & known.reset_index(drop=True)
 
     return test(F.col(column).cast("bigint"))
 

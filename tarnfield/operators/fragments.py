@@ -5,6 +5,8 @@ guide, for one version of one table. Fragments only prune: whoever uses one appl
 any doubt (stale version, unproven implication, unsuitable kind) leaves the query as it is, with a named reason.
 
 Life of an adaptive fragment: missing -> probing -> page -> bloom; a version change makes it stale and starts over.
+Versions are those of the files a frame reads, looked at with every request; page and Bloom fragments can be stored and
+are taken up again by a later session for the very same version, exact ones never are.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.operators import predicate as P
@@ -104,9 +107,25 @@ class Registry:
         self.counters = dict.fromkeys(("built", "reused", "evicted", "rejected", "stale", "applied", "bypassed"), 0)
         self.last = "none"
         self.clock = 0
+        #: fragments that the request at hand uses; they are not evicted
+        self.active: set[tuple[str, str, str]] = set()
 
     # ------------------------------------------------ versions
 
+    def sync(self, table: str, df: DataFrame) -> bool:
+        """Takes over the version of the files ``df`` reads; True if it is another one than before. A frame that reads
+        no files keeps the version :meth:`bump` gave it."""
+        if not df.inputFiles():
+            return False
+        now, old = table_version(df), self.versions.get(table)
+        if now == old:
+            return False
+        if old is None:
+            self.versions[table] = now
+            return False
+        self.bump(table, now)
+        return True
+
     def bump(self, table: str, version: str | None = None) -> str:
         """A new version of a table; its fragments become stale."""
         old = self.versions.get(table, "0")
@@ -159,10 +178,15 @@ class Registry:
         self.counters["built"] += 1
         return made
 
+    def _use(self, table: str, df: DataFrame, atom: P.Atom, kind: str, cost: float = 0.0) -> Fragment | None:
+        """The fragment for the request at hand."""
+        self.active.add((table, atom.text, kind))
+        return self.build(table, df, atom, kind, cost=cost)
+
     def _room(self, size: int) -> bool:
-        """Evict the least beneficial fragments per byte, the least recently used of equal ones first."""
+        """Evict the least beneficial fragments per byte, the least recently used of equal ones first; those in use stay."""
         while sum(f.bytes for f in self.fragments.values()) + size > self.settings.most_total_bytes:
-            victims = [(f.benefit_per_byte, f.used, k) for k, f in self.fragments.items()]
+            victims = [(f.benefit_per_byte, f.used, k) for k, f in self.fragments.items() if k not in self.active]
             if not victims:
                 return False
             del self.fragments[min(victims)[2]]
@@ -173,6 +197,8 @@ class Registry:
 
     def apply(self, table: str, df: DataFrame, guide: P.Guide, actual: object, *, kind: str | None = None) -> DataFrame:
         """``df`` pruned by the guide's fragments, or as it is with ``last`` naming why; the caller filters again."""
+        self.active.clear()
+        self.sync(table, df)
         reason = self._refuse(table, guide, actual)
         if reason:
             return self._bypass(df, reason)
@@ -180,7 +206,7 @@ class Registry:
         for group in guide.groups:
             part = df
             for atom in group:
-                f = self.build(table, df, atom, kind or atom.kind)
+                f = self._use(table, df, atom, kind or atom.kind)
                 if f is None:
                     return self._bypass(df, "over_budget")
                 part = self._prune(part, f, atom)
@@ -217,28 +243,33 @@ class Registry:
 
     # ------------------------------------------------ adaptive life
 
-    def activate(self, table: str, df: DataFrame, guide: P.Guide, *, probe_cost: float = 1.0) -> str:
-        """One request with an adaptive guide; returns the state that serves it (probing serves it unguided)."""
+    def activate(self, table: str, df: DataFrame, guide: P.Guide, *, probe_cost: float = 1.0, selectivity: float | None = None) -> str:
+        """One request with an adaptive guide; returns the state that serves it (probing serves it unguided).
+
+        A guide whose known ``selectivity`` is above the ceiling, or which has too many atoms, is never built.
+        """
         if any(a.negated for a in guide.atoms):
             raise P.PredicateError("an adaptive guide cannot be negated")
-        key = (table, "|".join("&".join(a.text for a in g) for g in guide.groups))
+        self.active.clear()
+        key = (table, _signature(guide))
         d = self.states.setdefault(key, Descriptor())
+        self.sync(table, df)
         version = self.version(table)
         if d.state == STALE or (d.version and d.version != version):
             self.counters["stale"] += 1
             d = self.states[key] = Descriptor()
         d.version, d.requests = version, d.requests + 1
-        if d.requests <= self.settings.probe_requests:
+        if d.requests <= self.settings.probe_requests or not admitted(selectivity or 0.0, len(guide.atoms), self.settings):
             d.state, d.probe_cost, d.probes = PROBING, d.probe_cost + probe_cost, d.probes + 1
             return d.state
         cost = d.probe_cost / max(d.probes, 1)
         if d.state in (MISSING, PROBING):
-            made = [[self.build(table, df, a, "page", cost=cost) for a in g] for g in guide.groups]
+            made = [[self._use(table, df, a, "page", cost) for a in g] for g in guide.groups]
             d.state = PAGE if all(f for g in made for f in g) else PROBING
             if d.state == PAGE and guide_skip_rate([[f.skip_rate for f in g] for g in made]) < self.settings.page_min_skip:
                 d.refine = True
         elif d.state == PAGE and d.refine:
-            made = [[self.build(table, df, a, "bloom", cost=cost) for a in g] for g in guide.groups]
+            made = [[self._use(table, df, a, "bloom", cost) for a in g] for g in guide.groups]
             flat = [f for g in made for f in g]
             score = cost * guide_skip_rate([[f.skip_rate for f in g] for g in made]) / max(1, sum(f.bytes for f in flat)) if all(flat) else 0.0
             if score > 0 and score >= self.settings.min_benefit_per_byte:
@@ -246,8 +277,47 @@ class Registry:
             d.refine = False
         return d.state
 
+    def serve(self, table: str, df: DataFrame, guide: P.Guide, actual: object, *, probe_cost: float = 1.0, selectivity: float | None = None) -> tuple[str, DataFrame]:
+        """One request end to end: (state, ``df`` pruned by the fragments of that state); the caller filters again."""
+        state = self.activate(table, df, guide, probe_cost=probe_cost, selectivity=selectivity)
+        if state in (PAGE, BLOOM):
+            return state, self.apply(table, df, guide, actual, kind=state)
+        return state, self._bypass(df, "probing")
+
+    # ------------------------------------------------ storage
+
+    def save(self, spark: SparkSession, folder: str) -> int:
+        """Write the page and Bloom fragments; returns how many. A folder is written once."""
+        rows = []
+        for (table, atom, kind), f in self.fragments.items():
+            if kind == "exact" or f.version != self.version(table):
+                continue
+            bits, path = None, None
+            if kind == "bloom":
+                bits = bytearray(f.data.bits.tobytes())
+            else:
+                path = f"{folder}/pages-{len(rows)}"
+                f.data.write.parquet(path)
+            rows.append((table, atom, kind, f.version, f.rows, f.total, f.bytes, f.skip_rate, f.benefit_per_byte, path, bits, f.data.size if kind == "bloom" else None))
+        spark.createDataFrame(rows, STORED).write.parquet(f"{folder}/fragments")
+        return len(rows)
+
+    def load(self, spark: SparkSession, folder: str, frames: dict[str, DataFrame]) -> int:
+        """Take up stored fragments of the tables in ``frames`` whose version is the present one; returns how many."""
+        found = 0
+        for r in spark.read.schema(STORED).parquet(f"{folder}/fragments").collect():  # one row per fragment, within the budget they were built under
+            if r.relation not in frames:
+                continue
+            self.sync(r.relation, frames[r.relation])
+            if r.version != self.version(r.relation) or not self._room(r.bytes):
+                continue
+            data = Bloom(np.frombuffer(bytes(r.bits), np.uint8), r.size, r.rows) if r.kind == "bloom" else spark.read.parquet(r.path)
+            self.fragments[r.relation, r.atom, r.kind] = Fragment(r.kind, r.version, r.rows, r.total, r.bytes, r.skip_rate, data, r.benefit, self.clock)
+            found += 1
+        return found
+
     def state(self, table: str, guide: P.Guide) -> str:
-        d = self.states.get((table, "|".join("&".join(a.text for a in g) for g in guide.groups)))
+        d = self.states.get((table, _signature(guide)))
         return d.state if d else MISSING
 
     def reset(self) -> None:
@@ -262,6 +332,13 @@ class Registry:
         return json.dumps({"counters": self.counters, "fragments": kinds, "bytes": sum(f.bytes for f in self.fragments.values()), "last_bypass": self.last}, sort_keys=True)
 
 
+STORED = "relation string, atom string, kind string, version string, rows bigint, total bigint, bytes bigint, skip_rate double, benefit double, path string, bits binary, size bigint"
+
+
+def _signature(guide: P.Guide) -> str:
+    return "|".join("&".join(a.text for a in g) for g in guide.groups)
+
+
 def _tree(guide: P.Guide) -> object:
     groups = [P.And(tuple(P.Not(a.tree) if a.negated else a.tree for a in g)) for g in guide.groups]
     return groups[0] if len(groups) == 1 else P.Or(tuple(groups))

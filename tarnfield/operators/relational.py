@@ -36,6 +36,35 @@ def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str
     return rows.withColumn(name, F.sum(value).over(inside)).join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + F.col(name)).alias(name))
 
 
+def keyed_running(df: DataFrame, key: list[str], order: list[str], *, sums: dict[str, Column] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
+    """Running values of each key in the order of ``order``, without one task per key.
+
+    ``sums`` adds, per name, the sum of an expression over the earlier rows of the key (null for the first row), ``lags``
+    the value of a column in the row before (null for the first). Rows lie in range partitions of (key, order), so a key
+    that holds a third of them spans many; what the earlier partitions of a key add up to is carried in, at most one
+    row per partition, as only the key that goes on over its edge needs one. Null keys are a key.
+    """
+    sums, lags = sums or {}, lags or {}
+    rows = _ranged(df.select("*", *(e.alias(f"__s_{n}") for n, e in sums.items())), [*(F.col(k).asc() for k in key), *(F.col(o).asc() for o in order)])
+    inside = Window.partitionBy("__part", *key).orderBy("__place")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    last = {n: F.max_by(F.struct(F.col(c).alias("v")), "__place").alias(f"__l_{n}") for n, c in lags.items()}
+    total = rows.groupBy("__part", *key).agg(*(F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums), *last.values())
+    earlier = Window.partitionBy(*key).orderBy("__part")
+    carried = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    carry = total.select(
+        F.col("__part").alias("__p"), *(F.col(k).alias(f"__k_{i}") for i, k in enumerate(key)), F.row_number().over(earlier).alias("__n"),
+        *(F.sum(f"__t_{n}").over(carried).alias(f"__c_{n}") for n in sums), *(F.lag(f"__l_{n}").over(earlier).alias(f"__b_{n}") for n in lags),
+    ).where("__n > 1")
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{i}"))
+    own = rows.select("*", *(F.sum(f"__s_{n}").over(before).alias(f"__o_{n}") for n in sums), *(F.lag(F.struct(F.col(c).alias("v"))).over(inside).alias(f"__w_{n}") for n, c in lags.items()))
+    out = own.join(F.broadcast(carry), same, "left")  # at most one row per partition
+    both = lambda a, b: F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise(F.col(a) + F.col(b))
+    return out.select(*df.columns, *(both(f"__o_{n}", f"__c_{n}").alias(n) for n in sums), *(F.coalesce(f"__w_{n}", f"__b_{n}")["v"].alias(n) for n in lags))
+
+
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key in a complete order."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -105,31 +134,38 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 
 def run_lengths(df: DataFrame, group: list[str], value: str, order: list[str]) -> DataFrame:
     """Runs of equal neighbours and distinct values per group: how often a scan in this order changes its page."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    new = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    rows = df.withColumn("__new", new)
-    return rows.groupBy(*group).agg(F.count("*").alias("rows"), F.sum("__new").alias("runs"), F.countDistinct(value).alias("pages"))
+    rows = keyed_running(df, group, order, sums={"__seen": F.lit(1)}, lags={"__before": value})
+    new = F.when(F.col("__before").eqNullSafe(F.col(value)) & F.col("__seen").isNotNull(), 0).otherwise(1)
+    return rows.withColumn("__new", new).groupBy(*group).agg(F.count("*").alias("rows"), F.sum("__new").alias("runs"), F.countDistinct(value).alias("pages"))
 
 
 def reuse_distance(df: DataFrame, key: str, order: str) -> DataFrame:
     """Requests since the last one with the same key; null for the first."""
-    return df.withColumn("reuse_distance", F.col(order) - F.lag(order).over(Window.partitionBy(key).orderBy(order)))
+    rows = keyed_running(df, [key], [order], lags={"__before": order})
+    return rows.withColumn("reuse_distance", F.col(order) - F.col("__before")).drop("__before")
 
 
 def running_choice(df: DataFrame, key: str, order: str, a: str, b: str, least: int) -> DataFrame:
     """Route of each request from the means of the earlier ones of its key: 'b' if at least ``least`` were seen and
     the mean of b is smaller, else 'a'."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    better = (F.count("*").over(w) >= least) & (F.avg(b).over(w) < F.avg(a).over(w))
-    return df.withColumn("route", F.when(better, "b").otherwise("a"))
+    has = lambda c: F.col(c).isNotNull().cast("int")
+    rows = keyed_running(df, [key], [order], sums={"__n": F.lit(1), "__a": F.col(a), "__b": F.col(b), "__na": has(a), "__nb": has(b)})
+    better = (F.col("__n") >= least) & (F.col("__b") / F.nullif("__nb", F.lit(0)) < F.col("__a") / F.nullif("__na", F.lit(0)))
+    return rows.withColumn("route", F.when(better, "b").otherwise("a")).drop("__n", "__a", "__b", "__na", "__nb")
 
 
 def break_even(df: DataFrame, group: list[str], order: str, saving: str) -> DataFrame:
-    """First request from which the cumulative saving stays at or above zero; null if there is none."""
-    up = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*group).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("__sum", F.sum(saving).over(up)).withColumn("__least", F.min("__sum").over(down))
-    return rows.groupBy(*group).agg(F.min(F.when(F.col("__least") >= 0, F.col(order))).alias("break_even"))
+    """First request from which the cumulative saving stays at or above zero; null if there is none: the first one
+    after the last request that leaves it below zero."""
+    rows = keyed_running(df, group, [order], sums={"__before": F.col(saving)})
+    rows = stored(rows.select(*group, order, (F.coalesce("__before", F.lit(0)) + F.coalesce(saving, F.lit(0)) < 0).alias("__below")), "savings")
+    last = rows.groupBy(*group).agg(F.max(F.when(F.col("__below"), F.col(order))).alias("__last"))
+    names = {g: f"__g{i}" for i, g in enumerate(group)}
+    same = F.lit(True)
+    for g, r in names.items():
+        same = same & F.col(g).eqNullSafe(F.col(r))
+    after = rows.join(last.select(*(F.col(g).alias(r) for g, r in names.items()), "__last"), same)
+    return after.groupBy(*group).agg(F.min(F.when(F.col("__last").isNull() | (F.col(order) > F.col("__last")), F.col(order))).alias("break_even"))
 
 
 def even_sample(df: DataFrame, column: str, n: int) -> DataFrame:

@@ -354,19 +354,55 @@ def paired_methods(spark, d):
     return out.select("filter_name", "expected", "paired", "status", F.round("speedup", 6).alias("speedup"))
 
 
-@query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
-x AS (SELECT id, {l2sql()} AS s FROM b CROSS JOIN q WHERE label < 5 AND id <> 0 ORDER BY s, id LIMIT 10),
-y AS (SELECT id, {l2sql()} AS s FROM b CROSS JOIN q WHERE (label < 5 OR price < 60000) AND id <> 0 ORDER BY s, id LIMIT 10)
-SELECT (SELECT list(id ORDER BY s, id) FROM x) = (SELECT list(id ORDER BY s, id) FROM y) AS stale_equals_current""")
+_LIFE = [*((n, s, "label < 3", 3) for n, s in enumerate(("probing", "probing", "page", "bloom", "bloom"), 1)), *((n, s, "label < 3 AND price >= 100000", 3) for n, s in enumerate(("probing", "probing", "page"), 6))]
+
+
+@query(f"WITH {_B} " + " UNION ALL ".join(f"SELECT {n} AS request_no, '{s}' AS state, CAST(count(*) FILTER (label < 3 AND price < 60000) + {2 if n > 5 else 0} AS BIGINT) AS rows, CAST(sum(id) FILTER (label < 3 AND price < 60000) + {2_000_001 if n > 5 else 0} AS BIGINT) AS ids, true AS same FROM b" for n, s, _, _ in _LIFE))
+def adaptive_cycle(spark, d):
+    """The life of an adaptive guide over files: two probes, page fragments that skip too little, Bloom fragments; then
+    two rows are added, the version of the files changes, and it starts over. Every answer is that of the plain filter."""
+    from tarnfield.operators.fragments import Registry, Settings
+    from tarnfield.session import new_path
+
+    path = new_path(spark, "adaptive")
+    columns = ["id", "label", "price"]
+    H.reviews(spark, d).select(*columns).write.parquet(path)
+    registry, tree = Registry(Settings(page_rows=1 << 20)), P.parse("label < 3 AND price < 60000", {"label": "int", "price": "double"})  # one page: it skips nothing
+    guide = P.guide(["label < 3"], {"label": "int"})
+    found = []
+    for n in range(1, len(_LIFE) + 1):
+        if n == 6:
+            spark.createDataFrame([(1_000_000, 0, 1.0), (1_000_001, 1, 2.0)], "id bigint, label int, price double").write.mode("append").parquet(path)
+        rows = spark.read.parquet(path)
+        state, pruned = registry.serve("reviews", rows, guide, tree)
+        out = [x.where(tree.to_column()).agg(F.count("*").alias("rows"), F.sum("id").alias("ids")) for x in (pruned, rows)]
+        both = out[0].crossJoin(out[1].toDF("r", "i"))  # single rows
+        found.append(both.select(F.lit(n).alias("request_no"), F.lit(state).alias("state"), "rows", "ids", ((F.col("rows") == F.col("r")) & (F.col("ids") == F.col("i"))).alias("same")).first())
+    return spark.createDataFrame([tuple(r) for r in found], "request_no int, state string, rows bigint, ids bigint, same boolean")
+
+
+@query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), n AS (SELECT id, label, price, {l2sql()} AS s FROM b CROSS JOIN q WHERE id <> 0),
+x AS (SELECT id, s FROM n WHERE label < 5 ORDER BY s, id LIMIT 10), y AS (SELECT id, s FROM n WHERE label < 5 OR price < 60000 ORDER BY s, id LIMIT 10)
+SELECT 'before' AS version, array_to_string(list(id ORDER BY s, id), ',') AS baseline, array_to_string(list(id ORDER BY s, id), ',') AS guided, 'none' AS bypass FROM x
+UNION ALL SELECT 'after', array_to_string(list(id ORDER BY s, id), ','), array_to_string(list(id ORDER BY s, id), ','), 'none' FROM y""")
 def invalidation(spark, d):
-    """After a mutation, results from the old version differ from those of the new one (a stale fragment would not)."""
-    rows, q = H.reviews(spark, d), V.literal(vector_of(spark, d, 0))
-    new = rows.withColumn("label", F.when(F.col("price") < 60000, F.lit(0)).otherwise(F.col("label")))
-    ids = []
-    for version in (rows, new):
-        top = version.where("label < 5 AND id <> 0").withColumn("s", V.l2("embedding", q)).orderBy("s", "id").limit(10)
-        ids.append(top.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "id"))), lambda x: x["id"]).alias("ids")))
-    return ids[0].crossJoin(ids[1].withColumnRenamed("ids", "now")).select((F.col("ids") == F.col("now")).alias("stale_equals_current"))
+    """A mutation between two requests: the fragment of the old version is stale and built again, so the guided ids are
+    those of the baseline in both versions."""
+    from tarnfield.operators.fragments import Registry
+
+    q, registry, guide, tree = V.literal(vector_of(spark, d, 0)), Registry(), P.guide(["label < 6"], {"label": "int"}), P.parse("label < 5", {"label": "int"})
+    rows = H.reviews(spark, d).select("id", "label", "price", "embedding")
+    changed = rows.withColumn("label", F.when(F.col("price") < 60000, F.lit(0)).otherwise(F.col("label")))
+    out = []
+    for name, version in (("before", rows), ("after", changed)):
+        version = stored(version, "version")
+        guided = registry.apply("reviews", version, guide, tree)
+        ids = []
+        for x, as_name in ((version, "baseline"), (guided, "guided")):
+            top = x.where(tree.to_column() & (F.col("id") != 0)).withColumn("s", V.l2("embedding", q)).orderBy("s", "id").limit(10)
+            ids.append(top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "id"))), lambda x: x["id"].cast("string")), ",").alias(as_name)))
+        out.append(ids[0].crossJoin(ids[1]).select(F.lit(name).alias("version"), "baseline", "guided", F.lit(registry.last).alias("bypass")))  # single rows
+    return out[0].unionByName(out[1])
 
 
 # ---------------------------------------------------------------- text
@@ -468,16 +504,34 @@ def anchor_layout(spark, d):
     return R.global_position(rows, [F.col("anchor_distance").asc(), F.col("id").asc()]).select("id", (F.col("position") + 1).alias("position"))
 
 
+def _clustered(spark, d, k: int) -> tuple[DataFrame, list[list[float]]]:
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centroids = L.train_centroids(e, k)
+    return stored(L.assign(e, centroids), "clustered"), centroids
+
+
 @query()
 def ivf_search(spark, d):
-    """Approximate search in the nearest clusters, its recall against the exact result by number of probes."""
-    e = L.assign(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _centroids(spark, d))
-    e = stored(e, "clustered")
-    q = vector_of(spark, d, 20)
-    ids = lambda rows: {r.id for r in rows.where("id <> 20").withColumn("s", V.l2("embedding", V.literal(q))).orderBy("s", "id").limit(10).collect()}
-    exact = ids(e)
-    found = [(n, len(exact & ids(L.probe_clusters(e, _centroids(spark, d), q, n))) / 10) for n in (1, 2, 4, 8)]
-    return spark.createDataFrame(found, "probes int, recall double")
+    """Approximate search in trained clusters for the whole query set: mean recall against the exact result by number
+    of probes. Sixteen clusters; twelve probes are the setting that :func:`ivf_found` uses."""
+    rows, centroids = _clustered(spark, d, 16)
+    exact = stored(K.batch_nearest_by(rows, {"": F.lit(True)}, query_set(spark, d), 10).select("query_id", "id"), "exact")
+    want = exact.groupBy("query_id").agg(F.count("*").alias("n"))
+    found = []
+    for probes in (1, 2, 4, 8, 12, 16):
+        got = L.cluster_search(rows, centroids, query_set(spark, d), 10, probes).select("query_id", "id").join(exact, ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
+        per = want.join(got, "query_id", "left").select((F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
+        found.append(per.agg(F.lit(probes).alias("probes"), F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, CAST(10 AS BIGINT) AS rows, true AS ordered FROM q""")
+def ivf_found(spark, d):
+    """The search with twelve probes of sixteen clusters: every query has ten rows, in the order of their distances."""
+    rows, centroids = _clustered(spark, d, 16)
+    got = L.cluster_search(rows, centroids, query_set(spark, d), 10, 12)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "distance_sq"))), lambda s: s["distance_sq"])
+    return got.groupBy("query_id").agg(F.count("*").alias("rows"), (F.array_sort(F.collect_list("distance_sq")) == in_order).alias("ordered"))
 
 
 @query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 6), r AS (SELECT id, row_number() OVER (ORDER BY {l2sql()}, id) AS rank_no FROM b CROSS JOIN q)

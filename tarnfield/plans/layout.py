@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnfield.functions.stats import content_hash
 from tarnfield.functions.vector import l2, l2_squared
 from tarnfield.operators.relational import run_lengths
+from tarnfield.operators.topk import query_blocks, ranked
 
 
 def train_centroids(df: DataFrame, k: int, *, vector: str = "embedding", sample: float = 1.0, seed: int = 17, steps: int = 10) -> list[list[float]]:
@@ -65,3 +66,45 @@ def probe_clusters(df: DataFrame, centroids: list[list[float]], query: list[floa
     """Rows of the ``probes`` clusters nearest to the query (approximate search; exact within them)."""
     d = sorted((sum((a - b) ** 2 for a, b in zip(query, c)), i) for i, c in enumerate(centroids))
     return df.where(F.col("cluster_id").isin([i for _, i in d[:probes]]))
+
+
+def cluster_search(df: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int, probes: int, *, block_rows: int = 4096) -> DataFrame:
+    """(query_id, id, distance_sq, rank_no): the k nearest rows within the ``probes`` clusters nearest to each query.
+
+    ``df`` has (id, embedding, cluster_id). The query set goes to the tasks in blocks of ``block_rows``; a row is
+    compared with the queries that probe its cluster, batch by batch, as one matrix product per cluster.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    centers, found = np.array(centroids, float), None
+    for block in query_blocks(queries, "query_id", block_rows):
+        part = block.orderBy("query_id").collect()  # one block of the stated query set
+        if not part:
+            continue
+        ids, q = np.array([r.query_id for r in part], np.int64), np.array([r.query_vector for r in part], float)
+        far = (q**2).sum(axis=1)[:, None] + (centers**2).sum(axis=1) - 2 * q @ centers.T
+        probed = np.argsort(far, axis=1, kind="stable")[:, :probes]
+
+        def run(batches, ids=ids, q=q, probed=probed):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cid, cell = b["id"].to_numpy().astype(np.int64), b["cluster_id"].to_numpy()
+                x = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                for c in np.unique(cell):
+                    mine, asks = np.flatnonzero(cell == c), np.flatnonzero((probed == c).any(axis=1))
+                    if not len(asks):
+                        continue
+                    d = ((q[asks, None] - x[None, mine]) ** 2).sum(axis=2) if len(asks) * len(mine) < 100_000 else (q[asks] ** 2).sum(axis=1)[:, None] + (x[mine] ** 2).sum(axis=1) - 2 * q[asks] @ x[mine].T
+                    d[ids[asks, None] == cid[mine]] = np.inf
+                    kth = np.partition(d, min(k, len(mine)) - 1, axis=1)[:, min(k, len(mine)) - 1 :][:, :1]
+                    i, j = np.nonzero((d <= kth + 1e-9 * (1 + np.abs(kth))) & np.isfinite(d))
+                    exact = ((q[asks[i]] - x[mine[j]]) ** 2).cumsum(axis=1)[:, -1]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[asks[i]]), pa.array(cid[mine[j]]), pa.array(exact)], names=["query_id", "id", "distance_sq"])
+
+        near = df.select("id", "embedding", "cluster_id").mapInArrow(run, "query_id bigint, id bigint, distance_sq double")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "query_id bigint, id bigint, distance_sq double, rank_no bigint")
+    return ranked(found, ["query_id"], [F.col("distance_sq"), F.col("id")], k)

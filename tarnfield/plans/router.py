@@ -110,25 +110,33 @@ class Request:
     window: int
     filter_name: str
     query_id: int
+    reuse_distance: int | None
 
 
 def build_trace(filters: Sequence[str], query_ids: Sequence[int], *, requests: int, window: int, seed: int, reuse: float = 0.78, hot: float = 0.88, hot_size: int = 4) -> list[Request]:
-    """Requests whose hot filters change half-way: with probability ``reuse`` a recent filter again, else a hot one
-    with probability ``hot`` (Zipf within its set), else any other."""
-    rng, out, recent = random.Random(seed), [], []
+    """Requests over seeded ranks of the filters, whose hot set changes half-way.
+
+    The first ``hot_size`` filters by rank are hot in the first half, the next ones in the second. With probability
+    ``reuse`` the filter of the request before stays, if it is hot; else a hot one is drawn with probability ``hot``,
+    or any other one, each by Zipf weights in the order of rank. ``reuse_distance`` counts the requests since the last
+    one with the same filter.
+    """
+    if requests <= 0 or window <= 0 or requests % window:
+        raise ValueError("requests must be positive and a multiple of the window")
+    rng = random.Random(seed)
+    ranked = rng.sample(list(filters), len(filters))
+    draw = lambda names: rng.choices(names, [1 / (i + 1) for i in range(len(names))])[0]
+    out: list[Request] = []
+    seen: dict[str, int] = {}
     for n in range(requests):
-        phase = int(n >= requests // 2)
-        warm = list(filters[phase * hot_size : (phase + 1) * hot_size]) or list(filters[:hot_size])
-        cold = [f for f in filters if f not in warm] or warm
-        fresh = [f for f in recent if f in warm]
-        if fresh and rng.random() < reuse:
-            f = rng.choice(fresh)
-        elif rng.random() < hot:
-            f = rng.choices(warm, weights=[1 / (i + 1) for i in range(len(warm))])[0]
-        else:
-            f = rng.choice(cold)
-        recent = (recent + [f])[-8:]
-        out.append(Request(n, phase, n // window, f, rng.choice(list(query_ids))))
+        phase = 2 * n // requests
+        warm = ranked[phase * hot_size : (phase + 1) * hot_size] or ranked[:hot_size]
+        cold = [f for f in ranked if f not in warm] or warm
+        f = out[-1].filter_name if out else None
+        if f not in warm or rng.random() >= reuse:
+            f = draw(warm if rng.random() < hot else cold)
+        out.append(Request(n, phase, n // window, f, rng.choice(list(query_ids)), n - seen[f] if f in seen else None))
+        seen[f] = n
     return out
 
 

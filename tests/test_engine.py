@@ -1,5 +1,6 @@
 import json
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,6 +19,7 @@ from tarnfield.operators import topk as K
 from tarnfield.operators.bloom import bitmap_count, build_bloom, id_bitmap, may_contain
 from tarnfield.operators.fragments import BLOOM, PAGE, PROBING, Registry, Settings, bloom_skip_rate, guide_skip_rate, table_version
 from tarnfield.plans import hybrid as H
+from tarnfield.plans import layout as L
 from tarnfield.plans import router
 from tarnfield.plans import workload as W
 
@@ -225,6 +227,70 @@ def test_eviction_by_benefit(spark):
     assert r.counters["evicted"] == 1 and ("t", "label = 1", "exact") not in r.fragments
 
 
+def test_fragments_in_use_stay_and_stored_ones_are_taken_up_for_their_version(spark, tmp_path):
+    path, tree = f"{tmp_path}/t", P.parse("label < 2 AND price > 2000", COLS)
+    _reviews(spark).write.parquet(path)
+    r, both = Registry(Settings(most_total_bytes=9000)), P.guide(["label < 2", "|", "label = 9"], COLS)
+    r.apply("t", spark.read.parquet(path), both, P.parse("label < 2 OR label = 9", COLS))
+    assert r.last == "none" and r.counters["evicted"] == 0 and len(r.active) == 2
+    small = Registry(Settings(most_total_bytes=6000))  # the second atom does not fit beside the first, which is in use
+    small.apply("t", spark.read.parquet(path), both, P.parse("label < 2 OR label = 9", COLS))
+    assert small.last == "over_budget" and small.counters["evicted"] == 0
+    guide, life = P.guide(["label < 2"], COLS), Registry(Settings(page_rows=1 << 20))
+    states = []
+    for _ in range(4):
+        state, rows = life.serve("t", spark.read.parquet(path), guide, tree)
+        states.append(state)
+        assert rows.where(tree.to_column()).count() == spark.read.parquet(path).where(tree.to_column()).count()
+    assert states == [PROBING, PROBING, PAGE, BLOOM] and life.last == "none" and rows.count() < 3000
+    assert life.save(spark, f"{tmp_path}/kept") == 2
+    later = Registry()
+    assert later.load(spark, f"{tmp_path}/kept", {"t": spark.read.parquet(path)}) == 2
+    pruned = later.apply("t", spark.read.parquet(path), guide, tree, kind="bloom")
+    assert later.counters["reused"] == 1 and later.counters["built"] == 0 and pruned.where(tree.to_column()).count() == 199
+    _reviews(spark).limit(1).write.mode("append").parquet(path)
+    assert Registry().load(spark, f"{tmp_path}/kept", {"t": spark.read.parquet(path)}) == 0
+    later.apply("t", spark.read.parquet(path), guide, tree, kind="bloom")
+    assert later.counters["stale"] == 1 and later.counters["built"] == 1
+    assert Registry(Settings(selectivity_ceiling=0.1)).activate("t", _reviews(spark), guide, selectivity=0.2) == PROBING
+
+
+def test_running_values_of_a_hot_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if k == 3 else int(k), i, None if i % 17 == 0 else float(v)) for i, (k, v) in enumerate(zip(rng.choice(5, 4000, p=[0.8, 0.1, 0.05, 0.03, 0.02]), rng.integers(-5, 6, 4000)))]
+    df = spark.createDataFrame(rows, "k int, n int, v double").withColumn("__x", F.lit(1))
+    got = {r.n: (r.s, r.c, r.b) for r in R.keyed_running(df, ["k"], ["n"], sums={"s": F.col("v"), "c": F.lit(1)}, lags={"b": "v"}).collect()}
+    held = {}
+    for k, n, v in rows:
+        seen = held.setdefault(k, [])
+        known = [x for x in seen if x is not None]
+        assert got[n] == (sum(known) if known else None, len(seen) or None, seen[-1] if seen else None)
+        seen.append(v)
+    assert R.keyed_running(df.limit(0), ["k"], ["n"], sums={"s": F.col("v")}).count() == 0
+
+
+def test_cluster_search_reaches_the_exact_result_with_all_probes(spark):
+    x, df = vectors(spark, 400, 8)
+    centroids = L.train_centroids(df, 6)
+    rows, q = L.assign(df, centroids), df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = sorted(map(tuple, K.batch_nearest(df, q, 5).select("query_id", "id", "rank_no").collect()))
+    for block in (3, 4096):
+        assert sorted(map(tuple, L.cluster_search(rows, centroids, q, 5, 6, block_rows=block).select("query_id", "id", "rank_no").collect())) == want
+    assert L.cluster_search(rows, centroids, q.limit(0), 5, 2).count() == 0
+
+
+def test_text_embeddings_are_the_leading_singular_directions(spark):
+    from tarnfield.functions.embed import text_embeddings
+
+    words = "rye oat spelt millet barley wheat corn rice".split()
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(rng.choice(words[:4] if i % 2 else words[4:], 12))) for i in range(80)] + [(900, "zzz"), (901, None), (902, "")]
+    got = {r.id: np.array(r.embedding) for r in text_embeddings(spark.createDataFrame(docs, "id int, text string"), "id", "text", dim=6, min_df=2, max_df=0.99).collect()}
+    assert set(got) == {*range(80), 900, 902} and all(len(v) == 6 for v in got.values()) and not got[900].any()
+    a, b = (np.array([got[i] for i in range(80) if i % 2 == c]) for c in (0, 1))
+    assert np.allclose(np.linalg.norm(a, axis=1), 1, atol=1e-5) and (a @ a.T).mean() > (a @ b.T).mean() + 0.4
+
+
 def test_skip_rates():
     assert guide_skip_rate([[0.5, 0.9]]) == pytest.approx(0.9) and guide_skip_rate([[0.5], [0.5]]) == 0.0
     assert 0.98 < bloom_skip_rate(100, 10_000, 1024 * 8) <= 0.99
@@ -357,6 +423,12 @@ def test_router():
     assert router.calibration_outcome({"a": 0.5}, ["a", "b"], 0.9)[0] == "indeterminate" and router.calibration_outcome({"a": 0.5, "b": 0.8}, ["a", "b"], 0.9)[0] == "unattainable"
     t = router.build_trace([f"f{i}" for i in range(14)], [1, 2], requests=100, window=10, seed=4)
     assert t == router.build_trace([f"f{i}" for i in range(14)], [1, 2], requests=100, window=10, seed=4) and {r.phase for r in t} == {0, 1}
+    t = router.build_trace([f"f{i}" for i in range(14)], [1, 2], requests=4000, window=10, seed=4)
+    hot = [{f for f, _ in Counter(r.filter_name for r in t if r.phase == p).most_common(4)} for p in (0, 1)]
+    stays = np.mean([a.filter_name == b.filter_name for a, b in zip(t, t[1:])])
+    assert not hot[0] & hot[1] and 0.7 < stays < 0.9 and all(t[r.request_no - r.reuse_distance].filter_name == r.filter_name for r in t if r.reuse_distance)
+    with pytest.raises(ValueError):
+        router.build_trace(["a"], [1], requests=15, window=10, seed=1)
     a, b = router.disjoint_samples(range(50), [10, 20], 1)
     assert len(a) == 10 and not set(a) & set(b)
     assert router.nearest_to_targets([("x", 0.5), ("y", 0.49), ("z", 0.1)], [0.5, 0.5]) == [(0.5, "x", 0.5), (0.5, "y", 0.49)]
