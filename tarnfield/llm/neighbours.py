@@ -18,11 +18,12 @@ from tarnfield.session import stored
 PAIR = "id_a bigint, id_b bigint, sim double"
 
 
-def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound: float, metric: str = "cosine", dim: int = 64, probes: int = 3, per_root: float = 1.0, **fit) -> DataFrame:
+def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound: float | None, metric: str = "cosine", dim: int = 64, probes: int = 3, per_root: float = 1.0, **fit) -> DataFrame:
     """(id_a, id_b, sim, rank_no): up to ``k`` most similar other records of every record among the close ones.
 
     Close: cosine at least ``bound``, or (metric 'l2') squared distance at most ``bound``; sim is the cosine or minus
-    the squared distance. Equal similarity: smaller id first. A record without close neighbours gives no row.
+    the squared distance; without a bound (null) all records count, near or far, which takes more ``probes``. Equal
+    similarity: smaller id first. A record without close neighbours gives no row.
 
     Rows with a null id or an unusable vector are left out; repeated rows of an id count once, and an id with several
     different vectors is as near as its nearest one. Copies of a vector are neighbours of each other. An empty
@@ -30,7 +31,9 @@ def close_neighbours(df: DataFrame, record: str, vector: str, *, k: int, bound:
     README has the measured recall.
     """
     vectors = usable_vectors(df, record, vector, dim)
-    reach = float(np.sqrt(2 - 2 * bound if metric == "cosine" else bound))  # the distance of the farthest close pair
+    # the distance of the farthest close pair; without a bound there is none, and cells stay as they are
+    reach = 0.0 if bound is None else float(np.sqrt(2 - 2 * bound if metric == "cosine" else bound))
+    bound = (-2.0 if metric == "cosine" else float("inf")) if bound is None else bound
     cells = fit_cells(vectors, metric=metric, dim=dim, probes=probes, per_root=per_root, reach=reach, rows=df, **fit)
 
     def tile(table: pa.Table) -> pa.Table:

@@ -74,12 +74,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return est.where(surely).select(*by).unionByName(settled)
 
 
+def p1_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Median and 99th percentile of every group of at least 100 values, exactly: the values inside the brackets of the
+    sketches are ranked, nothing else."""
+    by = ["run_method", "filter_name"]
+    est = stored(percentiles(merge_groups(_day_sketches(spark, d), by).where("n >= 100"), by, {"p50": (1, 2), "p99": (99, 100)}), "p1-brackets")
+    values = same_group_join(_measurements(spark, d), est.select(*by), by, "left_semi").select(*by, "latency_ms")
+    found = same_group_join(exact_percentile(values, est, by, "latency_ms", "p50", 1, 2), exact_percentile(values, est, by, "latency_ms", "p99", 99, 100), by)
+    return same_group_join(found, est.select(*by, "n"), by).select(*by, "n", "p50", "p99")
+
+
 P1_SQL = """
 WITH v AS (SELECT result_id, min(run_method) AS run_method, min(lower(trim(filter_name))) AS filter_name, min(latency_ms) AS latency_ms
   FROM query_result WHERE isfinite(latency_ms) AND latency_ms > 0 GROUP BY result_id),
 g AS (SELECT run_method, filter_name, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.99) AS p99
   FROM v WHERE filter_name IN (SELECT lower(trim(filter_name)) FROM exact_topk_entry) GROUP BY ALL)
 SELECT run_method, filter_name FROM g WHERE n >= 100 AND p99 >= 6 * p50"""
+P1_EXACT_SQL = P1_SQL.replace("SELECT run_method, filter_name FROM g WHERE n >= 100 AND p99 >= 6 * p50", "SELECT run_method, filter_name, n, p50, p99 FROM g WHERE n >= 100")
 
 # ---------------------------------------------------------------- problem 2
 
@@ -151,6 +162,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def p4_all(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar reviews of every review, near or far (approximate; its recall against p4_search is in the README)."""
+    return close_neighbours(load(spark, d, AMAZON), "id", "embedding", k=10, bound=None, probes=10, per_root=0.5).select("id_a", "id_b", F.col("rank_no").cast("bigint").alias("rank_no"))
+
+
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
     """The exact 10 most similar records, near or far, of every record whose id is divisible by 50."""
     found = []
@@ -250,6 +266,12 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(load(spark, d, "documents"), "doc_id", "text"), capacity=CAPACITY)
 
 
+def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every packed document over all its pieces, and whether it was split."""
+    rows = p8_pack(spark, d).groupBy(F.col("id").alias("doc_id"))
+    return rows.agg(F.sum("tokens").cast("bigint").alias("tokens"), (F.count("*") > 1).alias("split")).where("tokens > 0")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """How well the containers are filled."""
     used = containers(p8_pack(spark, d)).where("container <> 'empty'")
@@ -263,6 +285,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 P8_SQL = r"""SELECT doc_id FROM documents
 WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s\x1c-\x1f\x{85}]')) > 2048"""
+P8_TOKENS_SQL = "SELECT doc_id, n AS tokens, n > 2048 AS split FROM (" + P8_SQL.split("\nWHERE")[0].replace("SELECT doc_id", "SELECT doc_id, len(regexp_extract_all(text, '" + P8_SQL.split("'")[1] + "')) AS n") + ") WHERE n > 0"
 
 # ---------------------------------------------------------------- problem 9
 
@@ -308,6 +331,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_percentiles": p1_percentiles,
     "p1_by_day": p1_by_day,
+    "p1_exact": p1_exact,
     "p2_found": p2_found,
     "p2_typical": p2_typical,
     "p2_topics": p2_topics,
@@ -315,12 +339,14 @@ QUERIES = {
     "p3_terms": p3_terms,
     "p4_found": p4_found,
     "p4_search": p4_search,
+    "p4_all": p4_all,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p6_updates": p6_updates,
     "p8_found": p8_found,
     "p8_pack": p8_pack,
+    "p8_tokens": p8_tokens,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
@@ -330,6 +356,7 @@ QUERIES = {
 }
 SQL = {
     "p1_found": P1_SQL,
+    "p1_exact": P1_EXACT_SQL,
     "p2_found": P2_SQL,
     "p3_found": P3_SQL,
     "p3_terms": P3_TERMS_SQL,
@@ -340,4 +367,5 @@ SQL = {
     "p6_pairs": P6_PAIRS_SQL,
     "p6_updates": P6_UPDATES_SQL,
     "p8_found": P8_SQL,
+    "p8_tokens": P8_TOKENS_SQL,
 }
