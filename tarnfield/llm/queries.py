@@ -162,11 +162,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def p4_all(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 most similar reviews of every review, near or far (approximate; its recall against p4_search is in the README)."""
-    return close_neighbours(load(spark, d, AMAZON), "id", "embedding", k=10, bound=None, probes=10, per_root=0.5).select("id_a", "id_b", F.col("rank_no").cast("bigint").alias("rank_no"))
-
-
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
     """The exact 10 most similar records, near or far, of every record whose id is divisible by 50."""
     found = []
@@ -339,7 +334,6 @@ QUERIES = {
     "p3_terms": p3_terms,
     "p4_found": p4_found,
     "p4_search": p4_search,
-    "p4_all": p4_all,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,

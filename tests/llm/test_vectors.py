@@ -57,6 +57,14 @@ def test_close_neighbours_equal_brute_force(spark, metric):
     assert got == brute_near(sim, least, 4)
 
 
+def test_neighbours_without_a_bound(spark):
+    x = planted()
+    got = {}
+    for r in close_neighbours(frame(spark, x, junk(x)), "id", "v", k=4, bound=None, probes=99).orderBy("rank_no").collect():
+        got.setdefault(r.id_a, []).append(r.id_b)
+    assert got == brute_near(cosines(x), -2, 4)
+
+
 def test_buckets_of_a_heavy_cell_lose_nothing(spark):
     x = planted()
     df = frame(spark, x)
@@ -193,3 +201,5 @@ def test_hashed_features(spark):
     df = spark.createDataFrame([(1, "rye bread rye"), (2, "rye bread rye"), (3, "olive oil"), (4, None), (5, "")], "id bigint, t string")
     got = {r.id: r.vec for r in hashed_features(df, "id", "t").collect()}
     assert set(got) == {1, 2, 3} and got[1] == got[2] != got[3] and len(got[1]) == 64
+    assert np.count_nonzero(got[1]) == 2 and max(map(abs, got[1])) == pytest.approx((1 + np.log(2)) * np.log1p(3 / 2), rel=1e-6)
+    assert hashed_features(df.limit(0), "id", "t").count() == 0
