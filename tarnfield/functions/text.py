@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,21 +57,21 @@ def fnv1a_mod(n: int):
 
 @F.pandas_udf(T.StringType())
 def simhash64(s: pd.Series) -> pd.Series:
-    """64-bit similarity hash of the content words (hex): the sign, bit by bit, of the sum over word hashes."""
+    """64-bit similarity hash of the content words (hex): the sign, bit by bit, of the sum over word hashes. The bits of
+    a word are worked out once per batch, and a text adds up rows of them."""
     stop, word = set(STOP_WORDS), re.compile(r"[a-z0-9]+")
+    number: dict[str, int] = {}
+    rows = [None if t is None else [number.setdefault(w, len(number)) for w in word.findall(t.lower()) if w not in stop] for t in s]
+    digests = b"".join(hashlib.sha1(w.encode()).digest()[:8] for w in number)
+    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
-    def one(t: str | None) -> str | None:
-        if t is None:
+    def one(at: list[int] | None) -> str | None:
+        if at is None:
             return None
-        total = [0] * 64
-        for w in word.findall(t.lower()):
-            if w not in stop:
-                h = int.from_bytes(hashlib.sha1(w.encode()).digest()[:8], "big")
-                for i in range(64):
-                    total[i] += 1 if h >> i & 1 else -1
-        return f"{sum(1 << i for i, v in enumerate(total) if v > 0):016x}"
-
-    return s.map(one, na_action=None)
+        total = signs[at].sum(axis=0) if at else np.zeros(64, np.int32)
+        return np.packbits(total > 0).tobytes().hex()
+
+    return pd.Series([one(at) for at in rows], dtype=object)
 
 
 def simhash_bands(c: Column, bands: int = 4) -> Column:

@@ -460,6 +460,101 @@ def session_values(spark, d):
     return spark.sql("SELECT o_orderkey, session.tf_principal AS principal, unix_millis(CAST(o_orderdate AS TIMESTAMP)) <= session.tf_as_of AS visible FROM tf_orders")
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS position FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '<br\\s*/?>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND NOT list_contains({stop}, x)) AS l FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT word, min((doc_id, position)) AS first, count(*) AS uses FROM w GROUP BY word) SELECT word, CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS label_id, uses FROM f""".format(stop=list(X.STOP_WORDS)))
+def label_vocabulary(spark, d):
+    """Content words as labels, numbered by their first occurrence over all texts."""
+    words = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(X.content_words("text")).alias("position", "word"))
+    first = words.groupBy("word").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.count("*").alias("uses"))
+    rows = R.global_position(first.select("word", "uses", "first.doc_id", "first.position"), [F.col("doc_id").asc(), F.col("position").asc()], "label_id")
+    return rows.select("word", "label_id", "uses")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price, o_orderpriority AS priority FROM orders WHERE o_totalprice >= 100000 AND (o_orderpriority = '1-URGENT' OR NOT o_totalprice < 300000)")
+def csv_scan(spark, d):
+    """CSV with a declared header and casts, filtered by a parsed predicate."""
+    from tarnfield.session import new_path
+    from tarnfield.sources.files import read_csv
+
+    path = new_path(spark, "csv")
+    kept = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    kept.write.option("header", True).csv(path)
+    rows = read_csv(spark, path, kept.schema)
+    return rows.where(P.parse_for(rows, "price >= 100000 AND (priority = '1-URGENT' OR NOT price < 300000)"))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
+def json_lines_scan(spark, d):
+    """JSON lines with a declared schema; a line that does not parse is skipped."""
+    from tarnfield.session import new_path
+    from tarnfield.sources.files import read_json_lines
+
+    path = new_path(spark, "json")
+    kept = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    kept.write.json(path)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(path)
+    return read_json_lines(spark, path, kept.schema)
+
+
+_SUMS = "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total"
+
+
+@query(f"SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dim, {_SUMS} FROM embeddings")
+def fbin_scan(spark, d):
+    """Vectors written as one fbin file by all tasks and read in splits of its rows."""
+    from tarnfield.session import new_path
+    from tarnfield.sources.binary import read_matrix, register
+
+    register(spark)
+    path = _local(new_path(spark, "vectors")) + ".fbin"
+    load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").write.format("fbin").mode("overwrite").option("path", path).save()
+    rows = read_matrix(spark, path, partitions=5)
+    return rows.select("id", F.size("embedding").cast("bigint").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query(f"SELECT vec_id AS id, label, {_SUMS} FROM embeddings WHERE label >= 3")
+def npy_shards(spark, d):
+    """Vector shards without ids joined to a metadata table by their numbered rows."""
+    from tarnfield.session import new_path
+    from tarnfield.sources.binary import register, write_npy_shards
+
+    register(spark)
+    e = load(spark, d, "embeddings")
+    paths = write_npy_shards(e.select(F.col("vec_id").alias("id"), "embedding"), _local(new_path(spark, "npy")), shards=4)
+    rows = spark.read.format("npyshards").load(",".join(paths))
+    meta = e.select(F.col("vec_id").alias("id"), "label").where("label >= 3")
+    return rows.join(meta, "id").select("id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS balance FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT -1, 5.0 UNION ALL SELECT -2, NULL""")
+def versioned_mutations(spark, d):
+    """INSERT, UPDATE and DELETE, each as a new version of a table; older versions stay readable."""
+    from tarnfield.session import new_path
+    from tarnfield.sources.files import VersionedTable
+
+    table = VersionedTable(spark, _local(new_path(spark, "versions")))
+    table.write(load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")), order=["id"])
+    table.mutate(delete="balance < 0")
+    table.mutate(update={"balance": "balance * 2"}, where="segment = 'BUILDING'")
+    table.mutate(insert=spark.createDataFrame([(-1, None, 5.0), (-2, None, None)], "id bigint, segment string, balance double"))
+    return table.read().select("id", "balance")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT -c_custkey, 1.0 FROM customer WHERE c_custkey % 100 = 0")
+def upsert(spark, d):
+    """INSERT ... ON CONFLICT DO UPDATE as a new version."""
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    new = c.where("id % 3 = 0").withColumn("balance", F.lit(0.0)).unionByName(c.where("id % 100 = 0").select((-F.col("id")).alias("id"), F.lit(1.0).alias("balance")))
+    return R.upsert(c, new, ["id"])
+
+
 # ---------------------------------------------------------------- layout
 
 

@@ -195,6 +195,15 @@ def page_candidates(query: HybridQuery, rows: DataFrame, grants: DataFrame | Non
     return _top(candidates(query, rows.withColumn("__page", pages).join(hit, "__page", "left_semi"), grants), query)
 
 
+def limited_candidates(query: HybridQuery, rows: DataFrame, grants: DataFrame | None = None, *, candidates_at_most: int, matches_at_most: int) -> DataFrame:
+    """The stream of nearest rows cut by a lossy filter under two limits: of the ``candidates_at_most`` nearest rows
+    those that a Bloom filter of the matching ids lets pass, checked again, the first ``matches_at_most`` of them. A
+    limit that is met may leave out farther matches; what is returned always satisfies the predicate."""
+    bloom = build_bloom(candidates(query, rows, grants).select("id"))
+    near = rows.withColumn("distance", l2("embedding", literal(query.vector))).orderBy("distance", "id").limit(candidates_at_most)
+    return candidates(query, near.where(may_contain(bloom)), grants).orderBy("distance", "id").limit(matches_at_most).select(*query.columns)
+
+
 STRATEGIES = {
     "prefilter": prefilter, "allow_list": allow_list, "parallel_join": parallel_join, "sidecar": sidecar,
     "bitmap": bitmap_selector, "bloom": bloom_candidates, "page": page_candidates,

@@ -290,6 +290,30 @@ def candidate_export(spark, d):
     return H.candidates(q, H.reviews(spark, d).drop("embedding"), grants(spark, d)).select("id")
 
 
+@query(f"WITH {_B}, {_F}, {_V}, {_G} SELECT id FROM b JOIN g USING (tenant_id) WHERE {P.sql_of(TREES['building'])} ORDER BY id LIMIT 20")
+def candidate_export_bounded(spark, d):
+    """The first candidates by id."""
+    q = H.HybridQuery([], TREES["building"], principal=PRINCIPAL, candidate_valid=False)
+    return H.candidates(q, H.reviews(spark, d).drop("embedding"), grants(spark, d)).select("id").orderBy("id").limit(20)
+
+
+@query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), n AS (SELECT b.id, label, {l2sql()} AS s FROM b CROSS JOIN q ORDER BY s, b.id LIMIT 60)
+SELECT id, round(s, 6) AS distance FROM n WHERE label < 5 AND id <> 0 ORDER BY s, id LIMIT 7""")
+def strategy_limited(spark, d):
+    """Lossy candidates under a limit of rows looked at and a limit of matches."""
+    q, rows, _ = _flag_query(spark, d)
+    q = H.HybridQuery(**{**q.__dict__, "principal": None})
+    return _rounded(H.limited_candidates(q, rows, candidates_at_most=60, matches_at_most=7))
+
+
+@query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)
+SELECT b.id, round({l2sql()}, 6) AS distance FROM b CROSS JOIN q WHERE category = 'MACHINERY' AND label = 3 AND balance > 2000 AND b.id <> 0 ORDER BY {l2sql()}, b.id LIMIT 10""")
+def strategy_growing_fetch(spark, d):
+    """Post-filtering of a rare filter with the fetched number grown until ten rows are found or none is left."""
+    q, rows, _ = _flag_query(spark, d)
+    return _rounded(H.post_filter_until(H.HybridQuery(**{**q.__dict__, "principal": None, "predicate": TREES["rare"]}), rows, fetch=20))
+
+
 @query(f"WITH {_B} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, count(*) FILTER ({P.sql_of(t)}) AS rows, count(*) AS total FROM b" for n, t in TREES.items()))
 def selectivity(spark, d):
     """Rows of every filter, from one pass."""

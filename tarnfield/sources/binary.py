@@ -225,6 +225,23 @@ def read_matrix(spark: SparkSession, path: str, kind: str = "fbin", **options) -
     return spark.read.format(kind).options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
+def write_npy_shards(df: DataFrame, folder: str, *, shards: int) -> list[str]:
+    """Writes (id, embedding) as npy shards in ranges of the id, each by the task that holds it; the paths in that order."""
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b["embedding"].flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(b.num_rows, -1) for b in batches if b.num_rows]
+        if rows:
+            os.makedirs(folder, exist_ok=True)
+            path = f"{folder}/shard-{TaskContext.get().partitionId():05d}.npy"
+            np.save(path, np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    made = df.select("id", "embedding").repartitionByRange(shards, "id").sortWithinPartitions("id").mapInArrow(write, "path string")
+    return [r.path for r in made.orderBy(F.col("path")).collect()]  # one path per shard
+
+
 def vectors_equal(a: DataFrame, b: DataFrame, *, rtol: float = 1e-6, atol: float = 1e-7) -> DataFrame:
     """Ids whose vectors differ beyond the tolerances, or that one side lacks."""
     from pyspark.sql import functions as F
