@@ -85,6 +85,39 @@ def fields(c: Column | str, patterns: dict[str, str]) -> Column:
     return F.struct(*(F.when(F.regexp_extract(c, p, 0) != "", F.regexp_extract(c, p, 0)).alias(k) for k, p in patterns.items()))
 
 
+#: Families of requirements in a request text, and the words and phrases that name them.
+FAMILIES = {
+    "price": r"cheap|affordable|budget|bargain|inexpensive|expensive|price|worth (?:the )?(?:money|price|penny)|high price|low price|cost",
+    "rating_sentiment": r"excellent|perfect|great|best|amazing|love|loved|favorite|highly recommend|worth|no complaints|exceeds expectations",
+    "color": r"black|white|red|blue|green|yellow|pink|purple|orange|grey|gray|brown|beige|silver|gold|clear|transparent|color|colour|space grey",
+    "size_fit": r"small|large|medium|compact|portable|lightweight|heavy|fit|fits|size|sized|slim|wide|narrow|inch|inches|2t|12-18 month|petite",
+    "material": r"cotton|polyester|wood|wooden|metal|steel|plastic|silicone|leather|fabric|glass|ceramic|rubber|fur",
+    "compatibility": r"compatible|works with|macbook|ipad|iphone|android|apple|usb c|usb-c|cpap|rv|apartment|laptop|phone|galaxy|kindle|xbox|playstation|ps5|switch",
+    "audience": r"kids|children|child|toddler|baby|babies|dog|dogs|cat|cats|pet|pets|women|men|wife|husband|grandkids|students|teachers",
+    "occasion_use": r"halloween|christmas|birthday|wedding|summer|winter|beach|travel|camping|office|garden|home|bath|kitchen|laundry|sleep|school|work|yard",
+    "health_safety": r"healthy|toxic-free|non-toxic|sensitive|eczema|pain|support|air quality|dust|allergy|allergies|safe|safety",
+    "feature": r"waterproof|water resistant|rechargeable|automatic|adjustable|foldable|sturdy|soft|comfortable|durable|easy to|easy-to|lather|scent|pocket|kickstand|charger|ethernet|shade|support|dryer",
+    "negative_constraint": r"not too|doesn't|does not|won't|will not|without|no\s+[a-z]+|avoid|shouldn't|should not",
+}
+
+
+def request_text(c: Column | str) -> Column:
+    """A request in lower case, plain apostrophes, line-break markup and runs of white space as one space."""
+    c = F.regexp_replace(F.regexp_replace(F.lower(c), "’", "'"), r"<br\s*/?>", " ")
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def family_terms(text: Column | str, family: str) -> Column:
+    """The distinct terms of a family that a (plain) request names, in their order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?:{FAMILIES[family]})\b"), F.lit(0)))
+
+
+def without_families(text: Column | str) -> Column:
+    """The request with everything that names a family blanked out: what is left for the vector."""
+    every = "|".join(FAMILIES.values())
+    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"\b(?:{every})\b", " "), r"\s+", " "))
+
+
 def mask(c: Column | str, pattern: str, mark: str = "<x>") -> Column:
     """Matched spans replaced by a mark."""
     return F.regexp_replace(c, pattern, mark)

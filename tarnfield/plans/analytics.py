@@ -436,6 +436,24 @@ def json_fields(spark, d):
     return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k IS NOT NULL")
 
 
+_REQUEST = r"""q AS (SELECT query_no, trim(regexp_replace(regexp_replace(replace(lower(query_text), '’', chr(39)), '<br\s*/?>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM c4_queries WHERE query_text IS NOT NULL)"""
+_QUOTED = {n: p.replace("'", "''") for n, p in X.FAMILIES.items()}
+
+
+@query(f"WITH {_REQUEST} SELECT query_no, " + ", ".join(rf"array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b(?:{p})\b'))), ',') AS {n}" for n, p in _QUOTED.items()) + " FROM q")
+def request_families(spark, d):
+    """Eleven families of requirements in request texts, the terms that name each."""
+    rows = load(spark, d, "c4_queries").where("query_text IS NOT NULL").select("query_no", X.request_text("query_text").alias("t"))
+    return rows.select("query_no", *(F.array_join(F.array_sort(X.family_terms("t", n)), ",").alias(n) for n in X.FAMILIES))
+
+
+@query(rf"WITH {_REQUEST} SELECT query_no, trim(regexp_replace(regexp_replace(t, '\b(?:{'|'.join(_QUOTED.values())})\b', ' ', 'g'), '\s+', ' ', 'g')) AS rest FROM q")
+def request_rest(spark, d):
+    """What is left of request texts for the vector once the families are blanked out."""
+    rows = load(spark, d, "c4_queries").where("query_text IS NOT NULL").select("query_no", X.request_text("query_text").alias("t"))
+    return rows.select("query_no", X.without_families("t").alias("rest"))
+
+
 _JSON = "'{\"tags\": [' || (event_id % 5) || ', 7, ' || (event_id % 3) || '], \"name\": \"e' || event_id || '\"}'"
 
 
