@@ -43,6 +43,45 @@ def percentile_round(x: Column | str, p: float) -> Column:
     return F.get(a, F.bround(F.lit(p) * (F.size(a) - 1)).cast("int"))
 
 
+#: 0-based places of a percentile p among n sorted values, by rule
+PLACES = {
+    "floor": lambda p, n: F.floor(F.lit(p) * (n - 1)),
+    "nearest": lambda p, n: F.greatest(F.lit(1), F.ceil(F.lit(p) * n)) - 1,
+    "truncated": lambda p, n: F.greatest(F.lit(1), F.floor(F.lit(p) * n)) - 1,
+    "round": lambda p, n: F.bround(F.lit(p) * (n - 1)),
+}
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Per group the percentiles ``name: (rule, p)``; rules are those of ``PLACES`` and 'linear'.
+
+    No list of a group is built: its distinct values are counted, their running counts are formed in ranges of (group,
+    value), so that a hot group spans many tasks, and the values at the places asked for are picked. Null values are no
+    values, a group without any gives no row; null groups are a group.
+    """
+    from tarnfield.operators.relational import keyed_running
+
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    rows = keyed_running(rows, by, [value], sums={"__before": F.col("__c")}).withColumn("__before", F.coalesce("__before", F.lit(0)))
+    keys = [f"__k{i}" for i in range(len(by))]
+    total = rows.groupBy(*by).agg(F.sum("__c").alias("__n")).select(*(F.col(b).alias(k) for b, k in zip(by, keys)), "__n")
+    same = F.lit(True)
+    for b, k in zip(by, keys):
+        same = same & F.col(b).eqNullSafe(F.col(k))
+    rows, n = rows.join(total, same), F.col("__n")
+    at = lambda place: F.max(F.when((F.col("__before") <= place) & (place < F.col("__before") + F.col("__c")), F.col(value)))
+    out, final = [], []
+    for name, (rule, p) in wanted.items():
+        if rule == "linear":
+            place = F.lit(p) * (n - 1)
+            out += [at(F.floor(place)).alias(f"__l_{name}"), at(F.ceil(place)).alias(f"__h_{name}"), F.max(place - F.floor(place)).alias(f"__f_{name}")]
+            final.append((F.col(f"__l_{name}") + F.col(f"__f_{name}") * (F.col(f"__h_{name}") - F.col(f"__l_{name}"))).alias(name))
+        else:
+            out.append(at(PLACES[rule](p, n)).alias(name))
+            final.append(F.col(name))
+    return rows.groupBy(*by).agg(*out).select(*by, *final)
+
+
 def summary(x: Column | str) -> list[Column]:
     """Aggregates of a measurement: n, mean, median, p95, p99, stdev, minimum, maximum."""
     return [

@@ -82,10 +82,9 @@ SELECT k, a[CAST(floor(0.95 * (len(a) - 1)) AS BIGINT) + 1] AS floor_rule, a[gre
 a[greatest(CAST(floor(0.95 * len(a)) AS BIGINT), 1)] AS truncated_rule FROM s""")
 def percentile_rules(spark, d):
     """Four percentile rules side by side."""
-    x = "l_extendedprice"
-    return load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(
-        S.percentile_floor(x, 0.95).alias("floor_rule"), S.percentile_nearest(x, 0.95).alias("nearest_rule"), F.round(S.percentile_linear(x, 0.95), 6).alias("linear_rule"), S.percentile_truncated(x, 0.95).alias("truncated_rule")
-    )
+    rows = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_extendedprice")
+    out = S.group_percentiles(rows, ["k"], "l_extendedprice", {f"{r}_rule": (r, 0.95) for r in ("floor", "nearest", "linear", "truncated")})
+    return out.withColumn("linear_rule", F.round("linear_rule", 6))
 
 
 @query("""WITH r AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),

@@ -368,6 +368,18 @@ def test_percentile_rules(spark):
     assert df.limit(0).agg(S.percentile_floor("x", 0.5)).first()[0] == 0.0
 
 
+def test_group_percentiles_equal_the_lists(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if k == 2 else int(k), None if i % 50 == 0 else float(v)) for i, (k, v) in enumerate(zip(rng.choice(4, 3000, p=[0.9, 0.06, 0.03, 0.01]), rng.integers(0, 60, 3000)))] + [(77, None), (78, 5.0)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: tuple(r)[1:] for r in S.group_percentiles(df, ["k"], "x", {r: (r, p) for r in ("floor", "nearest", "truncated", "round", "linear")}).collect()}
+        f = [g("x", p) for g in (S.percentile_floor, S.percentile_nearest, S.percentile_truncated, S.percentile_round, S.percentile_linear)]
+        want = {r[0]: tuple(r)[1:] for r in df.where("x IS NOT NULL").groupBy("k").agg(*f).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert S.group_percentiles(df.limit(0), ["k"], "x", {"a": ("floor", 0.5)}).count() == 0
+
+
 def test_bootstrap_is_reproducible():
     v = [1.0, 2.0, 5.0, 9.0]
     a = S.bootstrap_mean(v, samples=500, seed=3)
