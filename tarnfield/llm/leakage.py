@@ -38,7 +38,7 @@ def words(text: str | None) -> list[str]:
 class Patterns:
     """Shift table, suffix buckets and owners of the patterns of a bounded block of test items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], table_bits: int = 20):
+    def __init__(self, items: list[tuple[int, str | None]], table_bits: int | None = None):
         grams: dict[tuple[str, ...], int] = {}
         owners: list[list[int]] = []
         self.number: list[int] = []  # of each test item
@@ -61,7 +61,8 @@ class Patterns:
         self.words = np.array([[self.vocabulary[w] for w in g] for g in grams], np.int32).reshape(-1, LENGTH)
         self.owner_at = np.r_[0, np.cumsum([len(o) for o in owners])].astype(np.int64)
         self.owner = np.array([x for o in owners for x in o], np.int64)
-        self.mask = (1 << table_bits) - 1
+        # about eight places for every block of the patterns, so that few blocks share one by chance and shifts stay long
+        self.mask = (1 << (table_bits or min(24, max(16, (8 * (LENGTH - BLOCK + 1) * len(grams)).bit_length())))) - 1
         # shift of a block: distance from its last place in any pattern to the end of the pattern
         self.shift = np.full(self.mask + 1, LENGTH - BLOCK + 1, np.uint8)
         for end in range(BLOCK, LENGTH + 1):

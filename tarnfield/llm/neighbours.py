@@ -116,6 +116,7 @@ def search(df: DataFrame, record: str, vector: str, queries: DataFrame, *, k: in
         x = np.array([r.vec for r in part], np.float32)
         found = rows.mapInArrow(_scan(ids, x, k, metric, dim), PAIR)
         best = _heaps(found.groupBy("id_a", "id_b").agg(F.max("sim").alias("sim")), k)
+        best = stored(best, "search") if number > 1 else best  # a pass of its own, so that many blocks make no huge plan
         result = best if result is None else result.unionByName(best)
     return result if result is not None else df.sparkSession.createDataFrame([], PAIR + ", rank_no int")
 
