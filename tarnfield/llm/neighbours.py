@@ -121,7 +121,7 @@ def search(df: DataFrame, record: str, vector: str, queries: DataFrame, *, k: in
     return result if result is not None else df.sparkSession.createDataFrame([], PAIR + ", rank_no int")
 
 
-def _scan(qids: np.ndarray, qx: np.ndarray, k: int, metric: str, dim: int):
+def _scan(qids: np.ndarray, qx: np.ndarray, k: int, metric: str, dim: int, queries_at_once: int = 256):
     def prepare(x: np.ndarray) -> np.ndarray:
         return unit(x) if metric == "cosine" else x.astype(np.float64)
 
@@ -146,35 +146,38 @@ def _scan(qids: np.ndarray, qx: np.ndarray, k: int, metric: str, dim: int):
             c, s, e, n = coded(w)
             slack = qn * e + n * qe + e * qe
             h = 0.5 * (w**2).sum(axis=1) if metric == "l2" else np.zeros(len(w))
-            # what a pair needs to enter the heap of its query, in units of the product
-            worst = heap_sim[:, -1] if metric == "cosine" else heap_sim[:, -1] / 2 + qh
-            need = (worst - slack - 1e-6 * (qn * n)) / (qs * s)
-            product = qc @ c.T - (h / (qs * s)).astype(np.float32)
-            hit = np.flatnonzero(product >= need[:, None].astype(np.float32))
-            i, j = hit // len(c), hit % len(c)
-            if len(i) > 2 * k * len(q):  # an empty heap lets everything pass: keep what can be among the k best
-                # k ids and the query itself, each with as many different vectors as any id has in the batch
-                places = (k + 1) * most
-                kth = np.partition(product, -places, axis=1)[:, -places] if len(c) > places else np.full(len(q), -np.inf, np.float32)
-                ok = product[i, j] >= kth[i] - np.float32(2 * slack / (qs * s) + 1e-5 * qn * n / (qs * s))
-                i, j = i[ok], j[ok]
-            keep = qids[i] != ids[j]
-            i, j = i[keep], j[keep]
-            sim = np.empty(len(i))
-            for t in range(0, len(i), 65_536):
-                a, d = q[i[t : t + 65_536]], w[j[t : t + 65_536]]
-                sim[t : t + 65_536] = np.einsum("ij,ij->i", a, d) if metric == "cosine" else -np.einsum("ij,ij->i", a - d, a - d)
-            full = heap_id >= 0
-            qa = np.r_[np.nonzero(full)[0], i]
-            ia, sa = np.r_[heap_id[full], ids[j]], np.r_[heap_sim[full], sim]
-            order = np.lexsort((ia, -sa, qa))
-            qa, ia, sa = qa[order], ia[order], sa[order]
-            fresh = np.r_[True, (qa[1:] != qa[:-1]) | (ia[1:] != ia[:-1])] if len(qa) else np.empty(0, bool)  # repeated rows are equal, so adjacent
-            qa, ia, sa = qa[fresh], ia[fresh], sa[fresh]
-            rank = np.arange(len(qa)) - np.searchsorted(qa, qa)
-            top = rank < k
-            heap_id[:], heap_sim[:] = -1, -np.inf
-            heap_id[qa[top], rank[top]], heap_sim[qa[top], rank[top]] = ia[top], sa[top]
+            for first in range(0, len(q), queries_at_once):  # so many products are held at a time
+                mine = slice(first, first + queries_at_once)
+                own_id, own_sim, own = heap_id[mine], heap_sim[mine], len(heap_id[mine])
+                # what a pair needs to enter the heap of its query, in units of the product
+                worst = own_sim[:, -1] if metric == "cosine" else own_sim[:, -1] / 2 + qh[mine]
+                need = (worst - slack - 1e-6 * (qn * n)) / (qs * s)
+                product = qc[mine] @ c.T - (h / (qs * s)).astype(np.float32)
+                hit = np.flatnonzero(product >= need[:, None].astype(np.float32))
+                i, j = hit // len(c), hit % len(c)
+                if len(i) > 2 * k * own:  # an empty heap lets everything pass: keep what can be among the k best
+                    # k ids and the query itself, each with as many different vectors as any id has in the batch
+                    places = (k + 1) * most
+                    kth = np.partition(product, -places, axis=1)[:, -places] if len(c) > places else np.full(own, -np.inf, np.float32)
+                    ok = product[i, j] >= kth[i] - np.float32(2 * slack / (qs * s) + 1e-5 * qn * n / (qs * s))
+                    i, j = i[ok], j[ok]
+                keep = qids[mine][i] != ids[j]
+                i, j = i[keep], j[keep]
+                sim = np.empty(len(i))
+                for t in range(0, len(i), 65_536):
+                    a, d = q[mine][i[t : t + 65_536]], w[j[t : t + 65_536]]
+                    sim[t : t + 65_536] = np.einsum("ij,ij->i", a, d) if metric == "cosine" else -np.einsum("ij,ij->i", a - d, a - d)
+                full = own_id >= 0
+                qa = np.r_[np.nonzero(full)[0], i]
+                ia, sa = np.r_[own_id[full], ids[j]], np.r_[own_sim[full], sim]
+                order = np.lexsort((ia, -sa, qa))
+                qa, ia, sa = qa[order], ia[order], sa[order]
+                fresh = np.r_[True, (qa[1:] != qa[:-1]) | (ia[1:] != ia[:-1])] if len(qa) else np.empty(0, bool)  # repeated rows are equal, so adjacent
+                qa, ia, sa = qa[fresh], ia[fresh], sa[fresh]
+                rank = np.arange(len(qa)) - np.searchsorted(qa, qa)
+                top = rank < k
+                own_id[:], own_sim[:] = -1, -np.inf
+                own_id[qa[top], rank[top]], own_sim[qa[top], rank[top]] = ia[top], sa[top]
         full = heap_id >= 0
         yield pa.RecordBatch.from_arrays([pa.array(qids[np.nonzero(full)[0]]), pa.array(heap_id[full]), pa.array(heap_sim[full])], names=["id_a", "id_b", "sim"])
 

@@ -135,6 +135,9 @@ def test_search_with_an_id_that_is_delivered_often():
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(map(list, rows)), pa.list_(pa.float32()))], names=["id", "vec"])
     (out,) = _scan(np.array([0]), x[:1], 5, "cosine", 64)(iter([batch]))
     assert out["id_b"].to_pylist() == brute_near(cosines(x), -np.inf, 5)[0]
+    (out,) = _scan(np.arange(10), x[:10], 5, "cosine", 64, queries_at_once=3)(iter([batch.slice(0, 200), batch.slice(200)]))
+    want = brute_near(cosines(x), -np.inf, 5)
+    assert out["id_b"].to_pylist() == [j for i in range(10) for j in want[i]]
 
 
 def test_similar_groups_equal_components(spark):
