@@ -572,6 +572,40 @@ def upsert(spark, d):
     return R.upsert(c, new, ["id"])
 
 
+@query(f"""WITH {_B}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT 'narrower' AS request, true AS used, id, round({l2sql()}, 6) AS distance FROM (SELECT * FROM b WHERE label < 5 AND price >= 100000) b CROSS JOIN q WHERE id <> 0 QUALIFY row_number() OVER (ORDER BY {l2sql()}, id) <= 10
+UNION ALL SELECT 'wider', false, id, round({l2sql()}, 6) FROM (SELECT * FROM b WHERE label < 8) b CROSS JOIN q WHERE id <> 0 QUALIFY row_number() OVER (ORDER BY {l2sql()}, id) <= 10""")
+def partial_layout(spark, d):
+    """A clustered copy of the rows of one predicate serves the requests whose predicate implies it, and no others."""
+    rows, kinds = H.reviews(spark, d).select("id", "label", "price", "embedding"), {"label": "int", "price": "double"}
+    part = L.PartialLayout.build(rows, P.parse("label < 6", kinds), ["label", "id"], files=4)
+    found = []
+    for name, text in (("narrower", "label < 5 AND price >= 100000"), ("wider", "label < 8")):
+        q = H.HybridQuery(vector_of(spark, d, 0), P.parse(text, kinds), k=10, exclude=0)
+        used, source = part.serve(q.predicate, rows)
+        found.append(_rounded_ids(H.prefilter(q, source)).select(F.lit(name).alias("request"), F.lit(used).alias("used"), "id", "distance"))
+    return found[0].unionByName(found[1])
+
+
+def _rounded_ids(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance, CAST(4 AS BIGINT) AS files, CAST(2 AS BIGINT) AS skipped FROM customer")
+def resumed_ingest(spark, d):
+    """CSV files taken in once each: a second run takes up only the files that the first one did not finish."""
+    from tarnfield.session import new_path
+    from tarnfield.sources.files import ingest_csv
+
+    path, target = new_path(spark, "incoming"), new_path(spark, "ingested")
+    kept = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    sources = [f"{path}/{i}" for i in range(4)]
+    for i, source in enumerate(sources):
+        kept.where(F.col("id") % 4 == i).write.option("header", True).csv(source)
+    ingest_csv(spark, sources[:2], target, kept.schema)
+    rows, skipped = ingest_csv(spark, sources, target, kept.schema)
+    return rows.select("id", "balance", F.lit(len(sources)).cast("bigint").alias("files"), F.lit(skipped).cast("bigint").alias("skipped"))
+
+
 # ---------------------------------------------------------------- layout
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tarnfield.functions.stats import content_hash
 from tarnfield.functions.vector import l2, l2_squared
+from tarnfield.operators.predicate import implies
 from tarnfield.operators.relational import run_lengths
 from tarnfield.operators.topk import query_blocks, ranked
+from tarnfield.session import new_path
 
 
 def train_centroids(df: DataFrame, k: int, *, vector: str = "embedding", sample: float = 1.0, seed: int = 17, steps: int = 10) -> list[list[float]]:
@@ -36,6 +40,27 @@ def write_clustered(df: DataFrame, path: str, order: list[str], *, files: int =
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
+@dataclass(frozen=True)
+class PartialLayout:
+    """A clustered copy of the rows that satisfy one predicate: what a partial index is elsewhere."""
+
+    predicate: object
+    path: str
+
+    @classmethod
+    def build(cls, df: DataFrame, predicate: object, order: list[str], *, files: int = 8) -> PartialLayout:
+        path = new_path(df.sparkSession, "partial")
+        write_clustered(df.where(predicate.to_column()), path, order, files=files)
+        return cls(predicate, path)
+
+    def serve(self, actual: object, df: DataFrame) -> tuple[bool, DataFrame]:
+        """(whether the copy is used, the rows to search): the copy if ``actual`` provably implies its predicate, else
+        ``df``; the caller filters by ``actual`` either way."""
+        if implies(actual, self.predicate):
+            return True, df.sparkSession.read.schema(df.schema).parquet(self.path)
+        return False, df
+
+
 def anchor_order(df: DataFrame, anchor: Column) -> DataFrame:
     """Rows with their distance to one anchor vector, the order of an anchor layout."""
     return df.withColumn("anchor_distance", l2("embedding", anchor)).orderBy("anchor_distance", "id")

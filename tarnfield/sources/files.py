@@ -26,6 +26,23 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def ingest_csv(spark: SparkSession, sources: list[str], folder: str, schema: T.StructType) -> tuple[DataFrame, int]:
+    """(all rows taken in so far, how many sources were skipped): each CSV source becomes a folder of its own, which counts
+    once its success mark is there; a run that is repeated or was broken off goes on with the others. A source counts
+    as the same by its path."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf, targets, skipped = spark.sparkContext._jsc.hadoopConfiguration(), [], 0
+    for source in sources:
+        target = f"{folder}/{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+        mark = fs_path(f"{target}/_SUCCESS")
+        if mark.getFileSystem(conf).exists(mark):
+            skipped += 1
+        else:
+            read_csv(spark, source, schema).write.mode("overwrite").parquet(target)
+        targets.append(target)
+    return spark.read.schema(schema).parquet(*targets), skipped
+
+
 def with_renamed(df: DataFrame, choices: Mapping[str, Iterable[str]]) -> DataFrame:
     """Each name taken from the first of its candidate columns that exists; a name without one fails."""
     found = {}

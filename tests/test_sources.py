@@ -106,3 +106,27 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     time.sleep(0.1)
     assert {r.key: (r.requests, r.route) for r in spark.table("r").collect()} == {"a": (20, "prefilter"), "b": (20, "prefilter")}
+
+
+def test_an_ingest_goes_on_where_it_stopped(spark, tmp_path):
+    from tarnfield.sources.files import ingest_csv
+
+    rows = spark.range(30).select("id", (F.col("id") * 1.5).alias("x"))
+    sources = [f"{tmp_path}/in{i}" for i in range(3)]
+    for i, s in enumerate(sources):
+        rows.where(F.col("id") % 3 == i).write.option("header", True).csv(s)
+    ingest_csv(spark, sources[:2], f"{tmp_path}/out", rows.schema)
+    done = next(p for p in os.listdir(f"{tmp_path}/out"))
+    os.remove(f"{tmp_path}/out/{done}/_SUCCESS")  # as if it had been broken off
+    got, skipped = ingest_csv(spark, sources, f"{tmp_path}/out", rows.schema)
+    assert skipped == 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_npy_shards_written_by_tasks_are_read_in_order(spark, tmp_path):
+    from tarnfield.sources.binary import register, write_npy_shards
+
+    register(spark)
+    df = spark.range(50).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding")).repartition(7)
+    paths = write_npy_shards(df, f"{tmp_path}/npy", shards=3)
+    got = spark.read.format("npyshards").load(",".join(paths)).orderBy("id").collect()
+    assert len(paths) == 3 and [r.embedding for r in got] == [[float(i), 1.0] for i in range(50)]
