@@ -153,14 +153,14 @@ def _scan(qids: np.ndarray, qx: np.ndarray, k: int, metric: str, dim: int, queri
                 worst = own_sim[:, -1] if metric == "cosine" else own_sim[:, -1] / 2 + qh[mine]
                 need = (worst - slack - 1e-6 * (qn * n)) / (qs * s)
                 product = qc[mine] @ c.T - (h / (qs * s)).astype(np.float32)
+                # an empty heap would let everything pass: k ids and the query itself, each with as many different vectors
+                # as any id has in the batch, are enough to find what can be among the k best
+                places = (k + 1) * most
+                if len(c) > places and not np.isfinite(worst).all():
+                    kth = np.partition(product, -places, axis=1)[:, -places]
+                    need = np.maximum(need, kth - (2 * slack + 1e-5 * qn * n) / (qs * s))
                 hit = np.flatnonzero(product >= need[:, None].astype(np.float32))
                 i, j = hit // len(c), hit % len(c)
-                if len(i) > 2 * k * own:  # an empty heap lets everything pass: keep what can be among the k best
-                    # k ids and the query itself, each with as many different vectors as any id has in the batch
-                    places = (k + 1) * most
-                    kth = np.partition(product, -places, axis=1)[:, -places] if len(c) > places else np.full(own, -np.inf, np.float32)
-                    ok = product[i, j] >= kth[i] - np.float32(2 * slack / (qs * s) + 1e-5 * qn * n / (qs * s))
-                    i, j = i[ok], j[ok]
                 keep = qids[mine][i] != ids[j]
                 i, j = i[keep], j[keep]
                 sim = np.empty(len(i))
