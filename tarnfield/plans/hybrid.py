@@ -112,7 +112,7 @@ def _top(rows: DataFrame, query: HybridQuery) -> DataFrame:
 
 
 def prefilter(query: HybridQuery, rows: DataFrame, grants: DataFrame | None = None) -> DataFrame:
-    """Exact: filter, then distance, then top k. The reference that the others must equal."""
+    """Exact: filter, then distance, then top k. The others must equal it."""
     return _top(candidates(query, rows, grants), query)
 
 
