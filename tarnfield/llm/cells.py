@@ -1,7 +1,8 @@
 """Coarse cells over vectors: usable rows, distributed k-means, and blocks of vectors per cell.
 
-Cells are fitted on a bounded sample (``fit_rows``); every row is assigned. Each vector goes to its ``probes`` nearest
-cells, and a pair of vectors is compared in the cells they share. Whatever is then said about a pair is computed
+Cells that only say which pairs are compared are fitted on a bounded sample (``fit_rows``), cells that are the result
+on all rows; every row is assigned. Each vector goes to its ``probes`` nearest cells, and a pair of vectors is compared
+in the cells they share. Whatever is then said about a pair is computed
 from the original numbers in double precision.
 
 Skew: identical vectors are collapsed inside each task before anything is shuffled, so a group of copies costs one
@@ -75,8 +76,9 @@ class Cells:
         return np.concatenate(out).astype(np.int32) if out else np.empty((0, m), np.int32)
 
 
-def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, reach: float = 0.0, seed: int = 17, rows: DataFrame | None = None, cells: int | None = None) -> Cells:
-    """Distributed k-means with parallel oversampled seeding on a sample of about ``fit_rows`` rows.
+def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_root: float = 2.0, fit_rows: int | None = 65_536, rounds: int = 4, steps: int = 2, tile_rows: int = 8192, reach: float = 0.0, seed: int = 17, rows: DataFrame | None = None, cells: int | None = None) -> Cells:
+    """Distributed k-means with parallel oversampled seeding on a sample of about ``fit_rows`` rows, or on all rows
+    where that is None (``vectors``, which every pass then reads, should be stored).
 
     The number of cells is ``cells``, or ``per_root`` times the square root of the rows, so that the work per row grows
     with the root of the table. Each seeding round draws k/2 rows in one pass, with probability proportional to the
@@ -89,9 +91,11 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
     """
     n = (rows if rows is not None else vectors).count()  # of the unfiltered table where given: its files know it
     k = max(1, cells or math.ceil(per_root * math.sqrt(n)))
-    share = min(1.0, max(fit_rows, 32 * k) / max(n, 1))  # at least 32 rows a cell: with the root of the table, no more
-    keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = stored(vectors.where(keep).repartition(max(8, k // 256)), "cell-sample")
+    share, sample = 1.0, vectors
+    if fit_rows is not None:
+        share = min(1.0, max(fit_rows, 32 * k) / max(n, 1))  # at least 32 rows a cell: with the root of the table, no more
+        keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+        sample = stored(vectors.where(keep).repartition(max(8, k // 256)), "cell-sample")
     origin = np.zeros(dim, np.float32)
     if metric == "l2":
         mean = sample.select(*(F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dim))).first()
@@ -117,7 +121,8 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
 
     seeds = draw(found, 0, 1)
     if not len(seeds):
-        drop_stored(sample)
+        if sample is not vectors:
+            drop_stored(sample)
         return found
     for r in range(1, rounds + 1):
         found.centers = seeds
@@ -133,7 +138,8 @@ def fit_cells(vectors: DataFrame, *, metric: str, dim: int, probes: int, per_roo
         spread = np.sqrt(np.maximum(squares - (sums**2).sum(axis=1) / np.maximum(counts, 1), 0) / np.maximum(counts - 1, 1))
         found.centers = _united(found.centers, counts, spread, reach)
     counts, _, _ = _members(sample, found)
-    drop_stored(sample)
+    if sample is not vectors:
+        drop_stored(sample)
     # what is too heavy is cut into buckets (each vector is placed `probes` times)
     found.buckets = np.maximum(1, np.ceil(counts / max(share, 1e-12) * probes / tile_rows)).astype(np.int32)
     return found

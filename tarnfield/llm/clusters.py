@@ -175,12 +175,12 @@ def kmeans_groups(vectors: DataFrame, *, k: int, metric: str = "cosine", dim: in
     """(cluster_key, size, rank_no, id, distance): k-means clusters of (id, vec), each with its size and the members
     nearest its centroid (smaller ids first among equally near ones).
 
-    Cells are fitted on a sample of ``fit_rows`` rows and every row is assigned to its nearest centroid; distances are
-    those of unit vectors for cosine. Null ids and unusable vectors are left out, a repeated id counts once, with one of its
+    Centroids are fitted on all rows, and every row is assigned to its nearest one; distances are those of unit vectors
+    for cosine. Null ids and unusable vectors are left out, a repeated id counts once, with one of its
     vectors; fewer distinct vectors than ``k`` give fewer clusters, an empty table gives none.
     """
     rows = stored(usable_vectors(vectors, "id", "vec", dim).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
-    cells = fit_cells(rows, metric=metric, dim=dim, probes=1, cells=k, **fit)
+    cells = fit_cells(rows, metric=metric, dim=dim, probes=1, cells=k, fit_rows=None, **fit)
 
     def assign(batches):
         for b in batches:

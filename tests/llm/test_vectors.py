@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,14 @@ def test_kmeans_groups_assign_every_row_and_name_the_nearest(spark):
     assert len({r.cluster_key for r in kmeans_groups(rows.where("id in (1, 2)"), k=9).collect()}) <= 2
 
 
+def test_kmeans_centroids_come_from_all_rows(spark):
+    x = np.sin(np.arange(1, 80_001)[:, None] * np.array([1.0, 2.3, 3.7, 5.1])).astype("f4")  # more rows than a sample has
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "vec": list(x)}))
+    got = [r.distance for r in kmeans_groups(rows, k=1, dim=4, members=5).orderBy("rank_no").collect()]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert got == pytest.approx(np.sort(np.linalg.norm(u - u.mean(axis=0), axis=1))[:5].tolist(), rel=1e-5)
+
+
 def test_sparse_links_of_a_hot_region_are_all_seen(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((6000, 64))
