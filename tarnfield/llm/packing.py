@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with items by minimum bin slack.
 
 Items are spread over shards; a shard knows only how many items of each length it has. It fills one kind of
-container at a time: the longest length left is placed, and over a window of the next lengths (a multiset) a subset
-sum program on bitsets finds the content that comes closest to the capacity; walking the bitsets back gives how
+container at a time: the longest length left is placed, and over the other lengths (a multiset; a window of them first,
+all where that leaves a gap) a subset sum program on bitsets finds the content that comes closest to the capacity; walking the bitsets back gives how
 often each length is taken, and the same content is repeated as long as the lengths last. Containers that stay
 short of ``full`` are emptied again and their items packed in a second round over fewer shards, so that the loss at
 the shard borders does not add up. The rounds end with one shard, which by then holds a bounded remainder.
@@ -40,8 +40,9 @@ def count_tokens(df: DataFrame, record: str, text: str) -> DataFrame:
 def fill(counts: np.ndarray, capacity: int, window: int = 48) -> list[tuple[int, dict[int, int]]]:
     """Contents of containers for ``counts[length]`` items of each length: (times, {length: how many}).
 
-    Minimum bin slack with the longest item left as the fixed one. Of a window of the next shorter lengths, each as
-    often as it is left (at most what fits), the multiset closest to the capacity is taken.
+    Minimum bin slack with the longest item left as the fixed one. Of all shorter lengths, each as often as it is left
+    (at most what fits), the multiset closest to the capacity is taken. ``window`` lengths are tried first, the others
+    only where these do not reach the capacity.
     """
     left = counts.astype(np.int64).copy()
     out: list[tuple[int, dict[int, int]]] = []
@@ -50,10 +51,12 @@ def fill(counts: np.ndarray, capacity: int, window: int = 48) -> list[tuple[int,
         big = lengths[0]
         room = capacity - big
         content = {big: 1}
-        # the window: lengths that fit, the longest first, and the shortest ones so that small gaps can be closed
+        # the window: lengths that fit, the longest first, and the shortest ones so that small gaps can be closed;
+        # the lengths between them follow
         fits = [x for x in lengths if x <= room]
         if len(fits) > window:
-            fits = fits[: window - window // 3] + fits[-(window // 3) :]
+            a, b = window - window // 3, len(fits) - window // 3
+            fits = fits[:a] + fits[b:] + fits[a:b]
         mask, sets, steps = (1 << (room + 1)) - 1, [1], []
         for x in fits:
             have, size = min(int(left[x]) - (x == big), room // x), 1

@@ -27,6 +27,35 @@ def test_fill_closes_gaps_exactly():
     assert fill(np.bincount([7, 6, 5, 4, 3, 3, 2], minlength=11), 10) == [(1, {7: 1, 3: 1}), (1, {6: 1, 4: 1}), (1, {5: 1, 3: 1, 2: 1})]
 
 
+def closest(left, room):
+    """The largest sum up to room of lengths that are left, by plain enumeration of what can be reached."""
+    sums = {0}
+    for x in np.repeat(np.arange(len(left)), left).tolist():
+        sums |= {s + x for s in sums if s + x <= room}
+    return max(sums)
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=40), st.sampled_from([0, 1, 3, 6]))
+@settings(max_examples=150, deadline=None)
+def test_fill_looks_at_every_length(lengths, window):
+    left = np.bincount(lengths, minlength=61)
+    for times, content in fill(left, 60, window=window):
+        for _ in range(times):
+            big = max(np.flatnonzero(left))
+            left[big] -= 1
+            assert big in content and sum(x * c for x, c in content.items()) == big + closest(left, 60 - big)
+            left[big] += 1
+            for x, c in content.items():
+                left[x] -= c
+    assert not left.any()
+
+
+def test_fill_takes_partners_outside_the_window():
+    even = [2 * x for x in range(400, 440)] + [2 * x for x in range(1, 21)]  # the longest and the shortest leave a token free
+    out = fill(np.bincount([1001, 201, *even], minlength=2049), 2048)
+    assert sum(x * c for x, c in out[0][1].items()) == 2048 and out[0][1][201] == 1
+
+
 def test_pack_keeps_everything(spark):
     rng = random.Random(4)
     sizes = [rng.choice([rng.randint(1, 60), rng.randint(300, 900), rng.randint(2000, 9000)]) for _ in range(3000)]
